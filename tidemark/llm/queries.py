@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_quality, language_id, mixing, packing, quality_rules, warc
+from tidemark.llm import ann, compression_quality, html_extract, language_id, mixing, packing, quality_rules, toxicity, warc
 from tidemark.llm.common import crc_mod, read
 
 
@@ -14,6 +14,11 @@ def _held_out(folds: int, fold: int):
     return F.coalesce(crc_mod("doc_id", folds) == fold, F.lit(False))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(read(spark, sf_dir, "documents"))
     rows = quality_rules.apply_policy(rows, quality_rules.POLICIES["strict"])
@@ -48,13 +53,25 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "mix_domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, index = ann.build(read(spark, sf_dir, "embeddings"))
+    return ann.search(index, books, F.col("vec_id") % 20 == 0)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_compression_quality": op4_compression_quality,
     "op5_warc_revisits": op5_warc_revisits,
     "op7_packing": op7_packing,
     "op8_source_mixing": op8_source_mixing,
+    "op9_additive_quantisation": op9_additive_quantisation,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _OP2 = r"""
