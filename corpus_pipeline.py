@@ -1,4 +1,4 @@
-"""From documents to packed sequences: quality, language, mixing, packing.
+"""From documents to packed sequences: quality, language, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of documents. ``run`` writes each stage's result to the shared folder before the next one starts.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import compression_quality, language_id, mixing, packing
+from tidemark.llm import compression_quality, language_id, mixing, near_dedup, packing
 from tidemark.llm.common import read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,6 +27,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep(docs, language_id.learn(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.keep(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three quarters of the tokens, by the target weights, no document twice."""
     return mixing.mix(docs, fraction=(3, 4), max_epochs=1).select(*docs.columns)
@@ -37,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("language", language), ("mixing", mixture), ("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("language", language), ("near_dedup", near_duplicates), ("mixing", mixture), ("packing", packed)]
 ORACLE_SQL = None  # the classifiers and the tokenizer are beyond SQL; tests hold each stage against brute force
 
 

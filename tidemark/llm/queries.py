@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, compression_quality, html_extract, language_id, mixing, packing, quality_rules, toxicity, warc
+from tidemark.llm import ann, compression_quality, html_extract, language_id, mixing, near_dedup, packing, quality_rules, toxicity, warc
 from tidemark.llm.common import crc_mod, read
 
 
@@ -44,6 +44,10 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(folder, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_compression_quality": op4_compression_quality,
     "op5_warc_revisits": op5_warc_revisits,
+    "op6_weighted_minhash": op6_weighted_minhash,
     "op7_packing": op7_packing,
     "op8_source_mixing": op8_source_mixing,
     "op9_additive_quantisation": op9_additive_quantisation,
