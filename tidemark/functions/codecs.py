@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from tidemark.errors import ConfigError, ConnectorUnavailable
 
@@ -28,7 +30,9 @@ class JsonCodec:
     schema: str
 
     def decode(self, payload: Column) -> Column:
-        return F.from_json(payload.cast("string"), self.schema, {"mode": "PERMISSIVE"})
+        fields = [f.name for f in _parse_datatype_string(self.schema).fields]
+        parsed = F.from_json(payload.cast("string"), f"{self.schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+        return F.when(parsed["_broken"].isNull(), F.struct(*[parsed[f].alias(f) for f in fields]))
 
     def encode(self, value: Column) -> Column:
         return F.to_json(value).cast("binary")
@@ -40,22 +44,15 @@ class AvroCodec:
 
     schema: str
 
-    def _functions(self):
-        from pyspark.sql.avro import functions as avro
-
-        return avro
-
     def decode(self, payload: Column) -> Column:
-        try:
-            return self._functions().from_avro(payload, self.schema)
-        except TypeError as e:
-            raise ConnectorUnavailable("Avro needs the spark-avro package") from e
+        from pyspark.sql.avro.functions import from_avro
+
+        return from_avro(payload, self.schema)
 
     def encode(self, value: Column) -> Column:
-        try:
-            return self._functions().to_avro(value, self.schema)
-        except TypeError as e:
-            raise ConnectorUnavailable("Avro needs the spark-avro package") from e
+        from pyspark.sql.avro.functions import to_avro
+
+        return to_avro(value, self.schema)
 
 
 def codec(name: str, schema: str = "") -> StringCodec | JsonCodec | AvroCodec:
@@ -67,4 +64,9 @@ def codec(name: str, schema: str = "") -> StringCodec | JsonCodec | AvroCodec:
 
 def decode(df: DataFrame, with_codec, payload: str = "value", into: str = "value") -> DataFrame:
     """Replace the payload by its value; rows that can't be decoded are dropped."""
-    return df.withColumn(into, with_codec.decode(F.col(payload))).where(F.col(into).isNotNull())
+    try:
+        return df.withColumn(into, with_codec.decode(F.col(payload))).where(F.col(into).isNotNull())
+    except AnalysisException as e:
+        if "AVRO_NOT_LOADED" in str(e):
+            raise ConnectorUnavailable("Avro needs the spark-avro package on the class path") from e
+        raise

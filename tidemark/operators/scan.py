@@ -36,7 +36,7 @@ def _fold(kind: str, c: Column) -> Column:
 
 def _join(kind: str, before: Column, here: Column) -> Column:
     if kind in ("sum", "count"):
-        return F.coalesce(before, F.lit(0)) + here
+        return F.coalesce(before + here, here, before)
     return (F.least if kind in ("min", "min_by") else F.greatest)(before, here)
 
 

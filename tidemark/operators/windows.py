@@ -105,6 +105,11 @@ def aggregate(df: DataFrame, keys: list[str], time: str | None, spec: Spec, aggs
     Grouped aggregates combine before the shuffle, so a hot key is no hot task.
     """
     check(spec)
+    if isinstance(spec, Tumbling | Sliding) and df.isStreaming:
+        # The window column itself carries the watermark; its parts don't.
+        out = df.groupBy(time_window(time, spec).alias("_w"), *keys).agg(*aggs)
+        out = out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in out.columns if c != "_w"])
+        return out.where(F.unix_millis("window_start") >= 0)
     if isinstance(spec, Tumbling | Sliding):
         return _assigned(df, time, spec).groupBy("window_start", "window_end", *keys).agg(*aggs)
     if isinstance(spec, Global):

@@ -59,18 +59,19 @@ class SocketSource:
     connect_timeout_ms: int = 5000
     read_timeout_ms: int = 0
 
-    def options(self) -> dict[str, str]:
+    def check(self) -> None:
         if self.mode not in ("server", "client"):
             raise ConfigError(f"unknown socket mode {self.mode!r}")
-        return {"host": self.host, "port": str(self.port), "maxConnections": str(self.max_connections), "connectTimeoutMs": str(self.connect_timeout_ms), "readTimeoutMs": str(self.read_timeout_ms)}
 
     def load(self, spark: SparkSession) -> DataFrame:
+        self.check()
         if self.mode == "client":
             return spark.readStream.format("socket").option("host", self.host).option("port", self.port).load()
-        from tidemark.sources.sockets import ListeningSource
+        from tidemark.sources.sockets import LineServer, Spool
+        from tidemark.streaming.run import folder
 
-        spark.dataSource.register(ListeningSource)
-        return spark.readStream.format(ListeningSource.name()).options(**self.options()).load()
+        spool = Spool(spark, LineServer(self.host, self.port, self.max_connections, self.read_timeout_ms), folder(spark, "socket"))
+        return spark.readStream.text(spool.folder)
 
 
 @dataclass(frozen=True)

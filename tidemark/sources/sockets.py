@@ -1,14 +1,12 @@
-"""A line server as a streaming source, and sinks over TCP."""
+"""A line server as the head of a stream, and sinks over TCP."""
 
 from __future__ import annotations
 
 import socket
 import threading
 import time
-from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
+from pyspark.sql import SparkSession
 
 MOST_LINES = 10_000
 
@@ -16,7 +14,8 @@ MOST_LINES = 10_000
 class LineServer:
     """Accepts up to ``max_connections`` clients and gathers their lines."""
 
-    def __init__(self, host: str, port: int, max_connections: int = 10):
+    def __init__(self, host: str, port: int, max_connections: int = 10, read_timeout_ms: int = 0):
+        self.read_timeout = read_timeout_ms / 1000 or None
         self.lines: list[str] = []
         self.base = 0
         self.lock = threading.Lock()
@@ -34,10 +33,14 @@ class LineServer:
             threading.Thread(target=self._serve, args=(peer,), daemon=True).start()
 
     def _serve(self, peer: socket.socket) -> None:
+        peer.settimeout(self.read_timeout)
         with self.gate, peer, peer.makefile("r", encoding="utf-8", errors="replace", newline="\n") as f:
-            for line in f:
-                with self.lock:
-                    self.lines.append(line.rstrip("\r\n"))
+            try:
+                for line in f:
+                    with self.lock:
+                        self.lines.append(line.rstrip("\r\n"))
+            except TimeoutError:
+                return
 
     def take(self, at: int, most: int = MOST_LINES) -> list[str]:
         with self.lock:
@@ -53,42 +56,41 @@ class LineServer:
         self.server.close()
 
 
-_SERVERS: dict[tuple[str, int], LineServer] = {}
-
-
-class ListeningReader(SimpleDataSourceStreamReader):
-    """Reads on the driver, where the server listens; a batch is kept until it is committed."""
-
-    def __init__(self, options: dict):
-        key = (options.get("host", "0.0.0.0"), int(options["port"]))
-        if key not in _SERVERS:
-            _SERVERS[key] = LineServer(*key, int(options.get("maxconnections", options.get("maxConnections", 10))))
-        self.server = _SERVERS[key]
-
-    def initialOffset(self) -> dict:
-        return {"line": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        lines = self.server.take(start["line"])
-        return iter([(x,) for x in lines]), {"line": start["line"] + len(lines)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(x,) for x in self.server.take(start["line"], end["line"] - start["line"])])
-
-    def commit(self, end: dict) -> None:
-        self.server.forget(end["line"])
-
-
-class ListeningSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "line_server"
-
-    def schema(self) -> str:
-        return "value string"
-
-    def simpleStreamReader(self, schema: StructType) -> ListeningReader:
-        return ListeningReader(self.options)
+class Spool:
+    """Writes the lines that a server gathers to files of a shared folder, a new one every ``flush_ms``.
+
+    A stream over the folder can be restarted, and reads the same lines again after a failure.
+    """
+
+    def __init__(self, spark: SparkSession, server: LineServer, folder: str, flush_ms: int = 200):
+        self.jvm, self.server, self.folder, self.flush_ms, self.files, self.done = spark._jvm, server, folder, flush_ms, 0, 0
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self._path(""))
+        self.stopped = threading.Event()
+        threading.Thread(target=self._run, daemon=True).start()
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _run(self) -> None:
+        while not self.stopped.wait(self.flush_ms / 1000):
+            self.flush()
+
+    def flush(self) -> None:
+        lines = self.server.take(self.done)
+        if not lines:
+            return
+        name = f"lines-{self.files:09d}.txt"
+        out = self.fs.create(self._path(f"_{name}"), True)
+        out.write(bytearray("".join(f"{x}\n" for x in lines).encode()))
+        out.close()
+        self.fs.rename(self._path(f"_{name}"), self._path(name))
+        self.files, self.done = self.files + 1, self.done + len(lines)
+        self.server.forget(self.done)
+
+    def stop(self) -> None:
+        self.stopped.set()
+        self.server.close()
 
 
 class LineClient:
