@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.functions import scalars, udf
+from tidemark.functions import scalars
 from tidemark.functions.codecs import JsonCodec, decode
 from tidemark.operators.stream import DataStream, StreamEnvironment
 from tidemark.plans.job import compile_job
