@@ -6,10 +6,12 @@ down the very shingles that it shares. Document frequencies are counted over all
 hashed counters, less the mean load of a counter: a table of fixed size, whatever the corpus.
 
 ``BANDS`` bands of ``ROWS`` samples each propose pairs, which are verified by the exact weighted Jaccard similarity of
-the whole texts. Equal texts are one node from the start. Within a bucket, pairs are not emitted wholesale:
-three rounds compare members to one pivot each, and skip what is connected already; pairs of nodes that share a
-bucket but are still unconnected after that are all compared. So no proposed link between classes is lost,
-and there is no cap. Classes are the connected components of the verified links.
+the whole texts' sets. Equal texts are one node from the start. Within a bucket, pairs are not emitted: two rounds
+compare members to one pivot each. A bucket whose members are then connected is done; of the others, small ones
+compare the pairs that are still unconnected, and large ones are cut into blocks of about ``BLOCK`` members, of which
+each pair of blocks is compared by one matrix product; blocks of the bucket's largest component are not compared
+to each other. So no proposed link between classes is lost, and there is no cap. Classes are the connected
+components of the verified links.
 
 Documents without a word (null, empty, blank) are never grouped. Texts of fewer words than a shingle have
 one shingle of all of them. Words are lower-cased. Repeated rows share their class; a class is named by its
@@ -18,7 +20,7 @@ smallest doc_id, null only if it has no other. Other columns of the input are ig
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,6 +36,7 @@ BANDS, ROWS = 9, 3
 DF_BITS, TABLE_BITS = 18, 15
 IDF_STRENGTH = 0.2
 SALTS = 64
+SMALL, BLOCK = 16, 512
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -100,21 +103,90 @@ class Sampler:
         return doc[starts].astype(np.int64), bands.view(np.int64)
 
 
-def similarities(left: pa.Array, right: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of the texts row by row; 0 where either has no word."""
-    n, sums, sets = len(left), [], []
-    for texts in (left, right):
-        keys, times = unique_counts(shingle_keys(Words(texts), SHINGLE))
-        w = weights[_bucket(keys & _LOW48)].astype(np.float64)
-        sums.append(np.bincount((keys >> np.uint64(48)).astype(np.int64), weights=times * w, minlength=n))
-        sets.append((keys, times, w))
-    (a, ta, w), (b, tb, _) = sets
-    if not len(a) or not len(b):
+def set_bytes(texts: pa.Array) -> list[bytes]:
+    """The weighted set of each text: ascending uint64 ``hash48 << 16 | occurrences``."""
+    keys, times = unique_counts(shingle_keys(Words(texts), SHINGLE))
+    packed = ((keys & _LOW48) << np.uint64(16)) | np.minimum(times, 65535).astype(np.uint64)
+    ends = np.searchsorted(keys >> np.uint64(48), np.arange(len(texts) + 1).astype(np.uint64))
+    return [packed[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _load(sets: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle, occurrences and weight of one occurrence for all elements."""
+    data = np.frombuffer(b"".join(sets), np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets])
+    shingle = data >> np.uint64(16)
+    return row, shingle, (data & np.uint64(0xFFFF)).astype(np.int64), weights[_bucket(shingle)].astype(np.float64)
+
+
+def similarities(left: list[bytes], right: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of two lists of sets, one by one; 0 where either is empty. Under 65536 of them."""
+    n = len(left)
+    (ra, sa, ta, w), (rb, sb, tb, wb) = _load(left, weights), _load(right, weights)
+    total = np.bincount(ra, weights=ta * w, minlength=n) + np.bincount(rb, weights=tb * wb, minlength=n)
+    if not len(ra) or not len(rb):
         return np.zeros(n)
+    a, b = (ra.astype(np.uint64) << np.uint64(48)) | sa, (rb.astype(np.uint64) << np.uint64(48)) | sb
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     same = b[at] == a
-    shared = np.bincount((a[same] >> np.uint64(48)).astype(np.int64), weights=np.minimum(ta[same], tb[at[same]]) * w[same], minlength=n)
-    return shared / np.maximum(sums[0] + sums[1] - shared, 1e-12)
+    shared = np.bincount(ra[same], weights=np.minimum(ta[same], tb[at[same]]) * w[same], minlength=n)
+    return shared / np.maximum(total - shared, 1e-12)
+
+
+def _features(sets: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and weight of every occurrence: the j-th of a shingle is a feature of its own, so that sums over
+    common features are sums of minima."""
+    row, shingle, times, w = _load(sets, weights)
+    again = np.repeat(np.arange(len(row)), times)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+    return row[again], mix(shingle[again] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), w[again]
+
+
+def block_similarities(left: list[bytes], right: list[bytes], weights: np.ndarray, dense_from: int = 4096, width: int = 2048) -> np.ndarray:
+    """The matrix of similarities between two blocks of sets."""
+    (ra, fa, wa), (rb, fb, wb) = _features(left, weights), _features(right, weights)
+    na, nb = len(left), len(right)
+    total_a, total_b = np.bincount(ra, weights=wa, minlength=na), np.bincount(rb, weights=wb, minlength=nb)
+    common = np.intersect1d(fa, fb)
+    shared = np.zeros((na, nb))
+    if len(common):
+        sides = []
+        for r, f, w in ((ra, fa, wa), (rb, fb, wb)):
+            at = np.minimum(np.searchsorted(common, f), len(common) - 1)
+            held = common[at] == f
+            order = np.argsort(at[held], kind="stable")
+            sides.append((r[held][order], at[held][order], w[held][order]))
+        (ra, ia, wa), (rb, ib, _) = sides
+        ca, cb = np.bincount(ia, minlength=len(common)), np.bincount(ib, minlength=len(common))
+        first_a, first_b = np.cumsum(ca) - ca, np.cumsum(cb) - cb
+        dense = ca * cb >= dense_from
+        column = np.cumsum(dense) - 1
+        for low in range(0, int(dense.sum()), width):
+            x, y = np.zeros((na, width), np.float32), np.zeros((nb, width), np.float32)
+            for matrix, r, i, v in ((x, ra, ia, wa), (y, rb, ib, None)):
+                use = dense[i] & (column[i] >= low) & (column[i] < low + width)
+                matrix[r[use], column[i[use]] - low] = 1 if v is None else v[use]
+            shared += x @ y.T
+        few = np.flatnonzero(~dense)
+        for low in range(0, len(few), 4096):  # at most 4096 * dense_from products at once
+            f = few[low : low + 4096]
+            n = ca[f] * cb[f]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            f = np.repeat(f, n)
+            a, b = first_a[f] + k // cb[f], first_b[f] + k % cb[f]
+            shared += np.bincount(ra[a] * nb + rb[b], weights=wa[a], minlength=na * nb).reshape(na, nb)
+    return shared / np.maximum(total_a[:, None] + total_b - shared, 1e-12)
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """The least connected index of each, from a symmetric matrix of links."""
+    labels = np.arange(len(linked))
+    while True:
+        least = np.minimum(labels, np.where(linked, labels, len(labels)).min(1, initial=len(labels)))
+        least = least[least]
+        if np.array_equal(least, labels):
+            return labels
+        labels = least
 
 
 def node_of(text: str | Column) -> Column:
@@ -165,18 +237,64 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches ``threshold``; b, which may be in many pairs, is salted."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "ta", 1 << 20):
-                yield piece.select(["a", "b"]).filter(pa.array(similarities(piece.column("ta"), piece.column("tb"), weights) >= threshold))
+            for piece in slices(batch, "sa", 1 << 20):
+                kept = similarities(piece.column("sa").to_pylist(), piece.column("sb").to_pylist(), weights) >= threshold
+                yield piece.select(["a", "b"]).filter(pa.array(kept))
 
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    left = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    right = salted.select("b", "salt").distinct().join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
+    left = salted.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    right = salted.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return left.join(right, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary")
+
+
+def _open(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Members (band, node, comp) of the buckets that hold more than one component."""
+    if comps is None:
+        return members.withColumn("comp", F.col("node"))
+    rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
+    return rows.join(open_, "band")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Links between members of different components in large buckets: rows are (band, node, comp).
+
+    The members of a bucket's largest component (side 0) and the others (side 1) are dealt into blocks by hash.
+    Compared are all pairs of blocks of side 1, and each block of side 1 with each of side 0.
+    """
+    per = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    stats = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    stats = stats.select("band", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("n0"), blocks(F.col("all") - F.col("top.n")).alias("n1"))
+    rows = rows.join(stats, "band").withColumn("side", (F.col("comp") != F.col("top")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.when(F.col("side") == 1, F.col("n1")).otherwise(F.col("n0")).cast("long")).cast("int"))
+    # A pair of blocks is (i of side 1, j): j counts the blocks of side 1 from i on, then those of side 0.
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    mine = F.transform(F.sequence(F.lit(0), F.col("n1") - 1), lambda k: pair(F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
+    with_top = F.transform(F.sequence(F.lit(0), F.col("n0") - 1), lambda k: pair(F.col("own"), F.col("n1") + k))
+    as_top = F.transform(F.sequence(F.lit(0), F.col("n1") - 1), lambda k: pair(k, F.col("n1") + F.col("own")))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("side") == 1, F.concat(mine, with_top)).otherwise(as_top)))
+    rows = rows.select("band", "p.i", "p.j", "node", "comp", F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("n1") + F.col("own")).alias("own"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, node, held = table.column("own").to_numpy(), np.array(table.column("node").to_pylist(), object), table.column("set").to_pylist()
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out: list[tuple] = []
+        if len(a) and len(b):
+            linked = block_similarities([held[x] for x in a], [held[x] for x in b], weights) >= threshold
+            matrix = np.zeros((len(own),) * 2, bool)
+            matrix[np.ix_(a, b)] = linked
+            matrix |= matrix.T
+            out = [(node[x], node[y]) for x, y in enumerate(forest(matrix)) if x != y]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return rows.join(sets, "node").groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def classes(docs: DataFrame, signed: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -188,36 +306,39 @@ def classes(docs: DataFrame, signed: DataFrame, weights: np.ndarray, threshold:
     none = F.lit(np.iinfo(np.int64).min)
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.coalesce("first", none).alias("first"))
     texts = docs.select("text", node_of("text").alias("node"), F.coalesce("doc_id", none).alias("first")).join(wanted, ["node", "first"])
-    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "dedup-texts")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(set_bytes(piece.column("text")), pa.binary())], names=["node", "set"])
+
+    sets = written(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(pack, "node binary, set binary"), "dedup-sets")
     links: DataFrame | None = None
-    tested: list[DataFrame] = []
     comps: DataFrame | None = None
-    for step in range(4):
-        rows = members
-        if comps is not None:
-            rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_ = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-            rows = rows.join(open_, "band")
-        else:
-            rows = rows.withColumn("comp", F.col("node"))
-        if step < 3:
-            by = (F.struct("node"), F.struct(F.xxhash64("node", F.lit(1)), "node"), F.struct(F.xxhash64("node", F.lit(2)), "node"))[step]
-            pivots = rows.groupBy("band").agg(F.min_by(F.struct("node", "comp"), by).alias("p")).select("band", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"))
-        else:
-            pivots = rows.select("band", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-        pairs = rows.join(pivots, "band").where("comp <> other_comp" if step < 3 else "comp < other_comp")
-        pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti").join(old.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = written(pairs, "dedup-pairs")
-        if pairs.isEmpty():
-            break
-        tested.append(pairs)
-        found = written(_verified(pairs, texts, weights, threshold), "dedup-links")
+    tested: DataFrame | None = None
+
+    def join_links(found: DataFrame) -> None:
+        nonlocal links, comps
         links = found if links is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
-        comps = components(links)
-    if comps is None:
-        comps = nodes.select("node", F.col("node").alias("comp")).limit(0)
+        comps = written(components(links), "dedup-comps")
+
+    for by in (F.struct("node"), F.struct(F.xxhash64("node"), "node")):
+        rows = _open(members, comps)
+        pivots = rows.groupBy("band").agg(F.min_by(F.struct("node", "comp"), by).alias("p")).select("band", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"))
+        pairs = rows.join(pivots, "band").where("comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "dedup-pairs")
+        tested = pairs
+        join_links(written(_verified(pairs, sets, weights, threshold), "dedup-links"))
+    rest = written(_open(members, comps), "dedup-open")
+    sizes = rest.groupBy("band").agg(F.count("*").alias("n"))
+    small = rest.join(sizes.where(F.col("n") <= SMALL).select("band"), "band")
+    other = small.select("band", F.col("node").alias("b"), F.col("comp").alias("other_comp"))
+    pairs = written(small.withColumnRenamed("node", "a").join(other, "band").where("comp < other_comp").select("a", "b").distinct(), "dedup-pairs")
+    large = rest.join(sizes.where(F.col("n") > SMALL).select("band"), "band")
+    found = _verified(pairs, sets, weights, threshold).unionByName(_block_links(large, sets, weights, threshold))
+    join_links(written(found, "dedup-links"))
     rows = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("first").isNull(), "first", "node")
     named = rows.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.min_by("node", order).alias("class_node"))
