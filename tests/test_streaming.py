@@ -6,13 +6,15 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import StateError
+from tidemark.errors import ConfigError, StateError
 from tidemark.operators.stream import StreamEnvironment
+from tidemark.plans.graph import RestartStrategy
 from tidemark.sources.builders import Generator, SocketSource
 from tidemark.sources.sinks import ConsoleSink, FileSink, SocketSink
 from tidemark.sources.sockets import LineClient, LineServer
+from tidemark.streaming.checkpoints import CheckpointStore, Coordinator
 from tidemark.streaming.exactly_once import ExactlyOnceWriter, IdempotentTracker, MemoryTransactions, StagedSink
-from tidemark.streaming.run import MetricsListener, available_now, collected, folder
+from tidemark.streaming.run import MetricsListener, available_now, collected, folder, with_restarts
 from tidemark.streaming.stateful import Context, MemoryHandle, Processor
 
 
@@ -242,3 +244,45 @@ def test_async_io(spark):
     assert [r.result for r in s.async_io_ordered(Slow(), "long").df.collect()] == [0, 1, 2, 3]
     assert [r.result for r in s.async_io_unordered(Slow(), "long").df.collect()] == [1, 2, 3, 0]
     assert [r.result for r in s.async_io_ordered(Slow(), "long", timeout_ms=50).df.collect()] == [-1, 1, 2, 3]
+
+
+def test_checkpoints(spark, tmp_path):
+    clock = [0.0]
+    store = CheckpointStore(spark, f"file://{tmp_path}/chk")
+    c = Coordinator(store, ["a", "b"], retained=2, timeout_ms=1000, min_pause_ms=500, now=lambda: clock[0])
+    done = []
+    for i in range(4):
+        n = c.trigger()
+        assert c.trigger() is None  # one at a time
+        assert not c.acknowledge(n, "a", b"x%d" % i) and not c.acknowledge(n, "stranger", b"") and c.acknowledge(n, "b", b"y")
+        assert c.trigger() is None  # too soon
+        done.append(n)
+        clock[0] += 0.6
+    assert store.list() == done[-2:] and c.latest() == {"a": b"x3", "b": b"y"}
+    n = c.trigger()
+    c.acknowledge(n, "a", b"lost")
+    clock[0] += 1.1
+    assert not c.acknowledge(n, "b", b"late") and c.stats.failed == 1 and c.stats.completed == 4 and store.list() == done[-2:]
+
+
+def test_restarts():
+    from pyspark.errors import StreamingQueryException
+
+    left, slept = [2], []
+
+    class Query:
+        def awaitTermination(self):
+            if left[0]:
+                left[0] -= 1
+                raise StreamingQueryException("lost")
+
+    assert with_restarts(Query, RestartStrategy("fixed_delay", 3, 5000), slept.append) == 2 and slept == [5.0, 5.0]
+    left[0] = 9
+    with pytest.raises(StreamingQueryException):
+        with_restarts(Query, RestartStrategy("fixed_delay", 3, 0), slept.append)
+
+
+def test_running_results_of_a_stream_are_refused(spark):
+    df = Generator(100).load(spark)
+    with pytest.raises(ConfigError):
+        StreamEnvironment(spark).from_dataframe(df, order="arrival").count()

@@ -574,13 +574,42 @@ class FirstSeen(Processor):
 FIRST_TIMER = 1_706_745_600_000  # 2024-02-01, after the last event
 
 
+def replayed(spark: SparkSession, sf_dir: str, *columns: str) -> DataStream:
+    """The events as a stream with event time, then two rows of the far future, in micro-batches of their own, whose
+    watermark lets everything before them fire. Those rows have no key."""
+    path = folder(spark, "replay")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns, F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.mode("append").parquet(f"{path}/part=0")
+    for part, year in ((1, 2200), (2, 2201)):
+        last = spark.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], F.to_timestamp(F.lit(f"{year}-01-01")).alias("ts"))
+        last.write.mode("append").parquet(f"{path}/part={part}")
+    live = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    return StreamEnvironment(spark).from_dataframe(live, "replay", "event_id", None, "event_id").with_time("ts", "0 seconds")
+
+
 @query(f"SELECT user_id, {FIRST_TIMER} AS fired_at, count(*) AS n FROM events GROUP BY user_id")
 def stream_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-time timers; the bounded run fires them at the end of the input, as a last watermark would."""
+    """Event-time timers of an unbounded stream fire behind the watermark."""
+    s = replayed(spark, sf_dir, "event_id", "user_id")
+    out = s.key_by("user_id").process(FirstSeen(), "user_id long, fired_at long, n long", time_mode="EventTime").df
+    return collected(out, "timer").where("user_id IS NOT NULL")
+
+
+@query(f"SELECT user_id, {FIRST_TIMER} AS fired_at, count(*) AS n FROM events GROUP BY user_id")
+def bounded_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same processor on a bounded stream: timers fire at the end of the input, as by a last watermark."""
     s = events(spark, sf_dir).select("event_id", "user_id")
     return s.key_by("user_id").process(FirstSeen(), "user_id long, fired_at long, n long", time_mode="EventTime").df
 
 
+@query(f"SELECT window_start, window_end, event_type, count(*) AS n FROM (SELECT {_DAYS}, event_type FROM events) GROUP BY ALL")
+def stream_append_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window once, when the watermark has passed its end."""
+    out = replayed(spark, sf_dir, "event_id", "event_type").key_by("event_type").tumbling_window(DAY).count("n").df
+    rows = collected(out, "append").where("event_type IS NOT NULL")
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else c for c, kind in rows.dtypes])
+
+
 class Balance(Processor):
     """Views and purchases of a user, counted in state that both sides share."""
 

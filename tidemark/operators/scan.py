@@ -58,6 +58,8 @@ def running(df: DataFrame, keys: list[str], order: str, aggregates: list[Running
     ``order`` must be unique per key. min_by and max_by give the value of the first row with the least or
     greatest ``by``. Null values are left out by sum, min and max.
     """
+    if df.isStreaming:
+        raise ConfigError("running results of an unbounded stream come from streaming.stateful, or totals()")
     if not aggregates:
         return df
     rows = df.withColumn("_range", order_ranges(df, order, ranges))

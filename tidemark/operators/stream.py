@@ -321,8 +321,6 @@ class KeyedStream:
 
     def _running(self, operator: str, aggregates: list[Running], ranges: int) -> DataStream:
         s = self.stream
-        if s.df.isStreaming:
-            raise ConfigError("running results of an unbounded stream need streaming.stateful.running_results, or totals()")
         return s._next(operator, operator, running(s.df, list(self.keys), s._need("order"), aggregates, ranges))
 
     def sum(self, value: str, to: str = "sum", ranges: int = RANGES) -> DataStream:

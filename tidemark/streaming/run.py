@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tidemark.plans.graph import RestartStrategy
 from tidemark.session import ROCKSDB
 
 
@@ -47,6 +50,20 @@ def collected(df: DataFrame, name: str = "stream", mode: str = "append") -> Data
     return sink.read(spark, schema)
 
 
+def with_restarts(start: Callable[[], StreamingQuery], strategy: RestartStrategy, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Start a query and wait for it; after a failure start it again, from its checkpoint. The number of restarts."""
+    attempts = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return attempts
+        except StreamingQueryException:
+            if strategy.kind == "none" or attempts >= strategy.max_attempts:
+                raise
+            attempts += 1
+            sleep(strategy.delay_ms / 1000)
+
+
 @dataclass
 class Metrics:
     """Records and batches per query, and records a second over its run time."""
