@@ -58,7 +58,7 @@ def bounded_sample(df: DataFrame, key: str, label: str, per_label: int, seed: in
     return sorted(rows, key=lambda r: (r["draw"], str(r["key"]), str(sorted(map(str, r.values())))))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``max_bytes``; a longer text gets a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at, held = 0, 0

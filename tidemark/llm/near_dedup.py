@@ -201,7 +201,7 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(weights)
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
+            for piece in slices(batch, "text"):
                 at, keys = sampler(piece.column("text"))
                 there = np.zeros(piece.num_rows, bool)
                 there[at] = True
@@ -242,7 +242,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, weights: np.ndarray, threshold:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "sa", 1 << 20):
+            for piece in slices(batch, "sa"):
                 kept = similarities(piece.column("sa").to_pylist(), piece.column("sb").to_pylist(), weights) >= threshold
                 yield piece.select(["a", "b"]).filter(pa.array(kept))
 

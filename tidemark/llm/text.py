@@ -20,11 +20,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_KEPT_POWERS = 1 << 19
+_powers_by_base: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """The first n powers of ``base`` modulo 2 ** 64; a table of fixed size serves all but the longest texts."""
+    if base not in _powers_by_base or n > _KEPT_POWERS:
+        out = np.full(max(n, _KEPT_POWERS), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        out = np.multiply.accumulate(out)
+        if n > _KEPT_POWERS:
+            return out
+        _powers_by_base[base] = out
+    return _powers_by_base[base][:n]
 
 
 class Words:
