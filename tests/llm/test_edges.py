@@ -517,3 +517,7 @@ def test_slices_cover_a_batch():
     parts = [s.column("t").to_pylist() for s in slices(batch, "t", 20)]
     assert sum(parts, []) == batch.column("t").to_pylist() and max(map(len, parts)) < 5
     assert list(slices(batch.slice(0, 0), "t")) == []
+
+
+def test_folders_are_qualified(spark, tmp_path):
+    assert warc._qualified(spark, str(tmp_path)) == warc._qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"

@@ -96,9 +96,16 @@ def _writer(folder: str, archive_bytes: int, level: int, date: str) -> Callable:
     return run
 
 
+def _qualified(spark, folder: str) -> str:
+    """The folder as a URI of the file system that Spark would write it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
 def write_archives(pages: DataFrame, min_bytes: int = 100, archive_bytes: int = 64 << 20, level: int = 4, date: str = "2024-01-01T00:00:00Z") -> tuple[str, DataFrame]:
     """Write one record per row of ``pages`` (page_id, url, html); the folder's URI and the manifest (path, bytes, records)."""
-    folder = shared_dir(pages.sparkSession, "warc")
+    folder = _qualified(pages.sparkSession, shared_dir(pages.sparkSession, "warc"))
     payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     revisits = resolve_revisits(rows.select("page_id", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), min_bytes)
