@@ -27,6 +27,7 @@ BLOCK = 1024
 FOLDS = 5
 THRESHOLD = 0.3
 LEVEL = 3
+RIDGE, ENOUGH = 1e-2, 300
 
 
 @dataclass
@@ -63,7 +64,7 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(texts)[-size:] or b" " * 8  # too few samples to train on: their raw content
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, ridge: float) -> np.ndarray:
     """Weighted logistic regression by damped Newton steps; the first column is the constant."""
     mean, scale = x.mean(0), x.std(0)
     mean[0], scale[0] = 0, 1
@@ -107,7 +108,9 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], dict_bytes: int =
         x += [scorer.features(t) for t in rest]
         y += [label] * len(rest)
         w += [counts[label] / total / len(rest)] * len(rest)
-    model.weights = fit_logistic(np.array(x), np.array(y, float), np.array(w) * len(y))
+    # A handful of rows can't settle six weights: below ENOUGH rows of the rarer label the ridge grows as they get fewer.
+    few = min(sum(y), len(y) - sum(y))
+    model.weights = fit_logistic(np.array(x), np.array(y, float), np.array(w) * len(y), RIDGE * max(1.0, ENOUGH / few))
     return model
 
 
