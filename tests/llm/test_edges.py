@@ -485,6 +485,18 @@ def test_cut_off_page_keeps_its_text():
     assert text == f"Head\n{PARAGRAPH}\n{PARAGRAPH} and then"
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        '<svg-icon name="a"></svg-icon>', "<video-js><button-group>", '<svg class="i"/>', '<math display="block" />', "<svg><title/><path/></svg>", "<button>", "<noscript>", "<object data='x'>",
+        "<canvas>", "<audio src=a>", '<video src="a">', "<svg><svg/><svg></svg><text>no</text></svg>", "<button>no</button>", "<script>no</script >", "<title-bar/>",
+    ],
+)
+def test_embedded_elements_take_no_text_with_them(before):
+    page = f"<body>{before}<article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article><button>no</button><video></video></body>"
+    assert html_extract.extract(html_extract.train(), page) == f"{PARAGRAPH}\n{PARAGRAPH}"
+
+
 def test_pages_as_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2), (2, "v", "<article>" + "<p>word</p>" * 20_000 + "</article>", 3)], "page_id long, url string, html string, text int")
     rows = html_extract.extract_pages(pages).collect()

@@ -6,8 +6,9 @@ like boilerplate, a heading or not. A tree grown on the labelled table below kee
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page
 order by one line feed. Null and empty pages have an empty text. Comments, scripts, styles and markup never
-reach a block; markup that is cut off at the end of a page is dropped. Repeated rows get equal texts; null
-page_id and url stay null. Whole pages of any length are read.
+reach a block; markup that is cut off at the end of a page is dropped. What an embedded element (drawings, buttons,
+media) holds is dropped up to its own end tag; the tag of one that is never closed is ignored. Repeated rows get equal
+texts; null page_id and url stay null. Whole pages of any length are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("address article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section select table ul".split())
 BOILERPLATE = frozenset("nav menu aside footer form dialog header select fieldset address".split())
-RAW = "script style noscript template textarea title svg math iframe object canvas button audio video"
+RAW = frozenset("script style textarea title".split())  # to the end of the page if unclosed
+EMBEDDED = frozenset("noscript template svg math iframe object canvas button audio video".split())
+NESTED = frozenset("template svg math object".split())  # may hold elements of their own name
+FOREIGN = ("svg", "math")  # where "/>" ends an element
 # Words in class, id and role attributes.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adbox adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus dropdown footer gdpr "
@@ -35,10 +39,11 @@ BOILERPLATE_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article content entry main post story".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^'\">]++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]++|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]++|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"']+/\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
@@ -183,6 +188,34 @@ def _named(name: str, attrs: str) -> tuple[bool, bool]:
     return boilerplate, article and not boilerplate
 
 
+def _markup(page: str) -> tuple[list[tuple[int, int, str, bool, str]], dict[int, int]]:
+    """All markup in order (start, end, name, whether an end tag, attributes), a raw element as one; and by the
+    number of an embedded element's start tag the number of its end tag, if it has one."""
+    found: list[tuple[int, int, str, bool, str]] = []
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {name: [] for name in EMBEDDED}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name, end, attrs = (m["name"] or "").lower(), m["end"] == "/", m["attrs"] or ""
+        if name in EMBEDDED or name in RAW:
+            foreign = name in FOREIGN or any(waiting[x] for x in FOREIGN)
+            empty = foreign and attrs.endswith("/") and not _UNQUOTED_SLASH.search(attrs)
+            if name in RAW:
+                if not end and not empty:
+                    stop = _RAW_END[name].search(page, at)
+                    at = stop.end() if stop else len(page)
+            elif end:
+                if waiting[name]:
+                    ends[waiting[name].pop()] = len(found)
+            elif not empty:
+                if name not in NESTED:
+                    waiting[name].clear()
+                waiting[name].append(len(found))
+        found.append((m.start(), at, name, end, attrs))
+    return found, ends
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page in order."""
     out: list[Block] = []
@@ -206,16 +239,21 @@ def blocks(page: str) -> list[Block]:
             if state["link"]:
                 state["linked"] += len(text.strip())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+    markup, ends = _markup(page)
+    at = k = 0
+    while k < len(markup):
+        start, stop, name, end, attrs = markup[k]
+        add(page[at:start])
+        if k in ends:
+            k = ends[k]
+            stop = markup[k][1]
+        at, k = stop, k + 1
         if not name:
-            if m["raw"] and m["raw"].lower() in ("title", "iframe", "object", "button"):
+            continue
+        if name in EMBEDDED or name in RAW and not end:
+            if name in ("title", "iframe", "object", "button"):
                 close()
             continue
-        name, end = name.lower(), m["end"] == "/"
         if name == "a":
             state["link"] = not end
         elif name in BLOCKS:
@@ -228,7 +266,7 @@ def blocks(page: str) -> list[Block]:
                             del stack[i:]
                             break
                 else:
-                    boilerplate, article = _named(name, m["attrs"])
+                    boilerplate, article = _named(name, attrs)
                     above = stack[-1] if stack else ("", False, False)
                     if name == "header" and above[2]:
                         boilerplate = above[1]  # an article's own header holds its title
