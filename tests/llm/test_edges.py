@@ -259,6 +259,17 @@ def test_blocks_equal_pairs():
             assert np.allclose(matrix[i], row, atol=1e-5)
 
 
+def test_occurrences_are_counted_in_full():
+    weights = np.ones(1 << near_dedup.DF_BITS, np.float32)
+    times = [1, 65534, 65535, 65536, 99_996, 131_070, 131_071, 199_996]
+    sets = near_dedup.set_bytes(pa.array(["it " * (n % 2) + "so " * (n + 4) for n in times]))
+    assert near_dedup._load(sets, weights)[2].max() == 199_996
+    # One shingle n times, and one more shingle in texts of an odd n.
+    expected = [[(min(a, b) + a % 2 * (b % 2)) / (max(a, b) + max(a % 2, b % 2)) for b in times] for a in times]
+    pairs = [near_dedup.similarities([x] * len(sets), sets, weights) for x in sets]
+    assert np.allclose(pairs, expected, atol=1e-9) and np.allclose(near_dedup.block_similarities(sets, sets, weights), expected, atol=1e-5)
+
+
 def test_large_buckets_lose_no_link(spark, documents):
     """A group of near copies whose members are at the threshold of each other, blocks of a few members."""
     rng = random.Random(17)

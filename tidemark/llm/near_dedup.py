@@ -38,6 +38,7 @@ IDF_STRENGTH = 0.2
 SALTS = 64
 SMALL, BLOCK = 16, 512
 _LOW48 = np.uint64((1 << 48) - 1)
+_MOST = 65535  # occurrences in one element of a packed set
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -104,19 +105,27 @@ class Sampler:
 
 
 def set_bytes(texts: pa.Array) -> list[bytes]:
-    """The weighted set of each text: ascending uint64 ``hash48 << 16 | occurrences``."""
+    """The weighted set of each text: ascending uint64 ``hash48 << 16 | occurrences``. A shingle of more than
+    ``_MOST`` occurrences has several elements, which add up."""
     keys, times = unique_counts(shingle_keys(Words(texts), SHINGLE))
-    packed = ((keys & _LOW48) << np.uint64(16)) | np.minimum(times, 65535).astype(np.uint64)
+    parts = -(-times // _MOST)
+    if len(times) and parts.max() > 1:
+        first = np.repeat(np.cumsum(parts) - parts, parts) == np.arange(parts.sum())
+        keys, times = np.repeat(keys, parts), np.where(first, np.repeat(times - (parts - 1) * _MOST, parts), _MOST)
+    packed = ((keys & _LOW48) << np.uint64(16)) | times.astype(np.uint64)
     ends = np.searchsorted(keys >> np.uint64(48), np.arange(len(texts) + 1).astype(np.uint64))
     return [packed[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _load(sets: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, shingle, occurrences and weight of one occurrence for all elements."""
+    """Row, shingle, occurrences and weight of one occurrence for all shingles."""
     data = np.frombuffer(b"".join(sets), np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets])
-    shingle = data >> np.uint64(16)
-    return row, shingle, (data & np.uint64(0xFFFF)).astype(np.int64), weights[_bucket(shingle)].astype(np.float64)
+    shingle, times = data >> np.uint64(16), (data & np.uint64(_MOST)).astype(np.int64)
+    if (times == _MOST).any():
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1]))))
+        row, shingle, times = row[first], shingle[first], np.add.reduceat(times, first)
+    return row, shingle, times, weights[_bucket(shingle)].astype(np.float64)
 
 
 def similarities(left: list[bytes], right: list[bytes], weights: np.ndarray) -> np.ndarray:
