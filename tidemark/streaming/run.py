@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.plans.graph import RestartStrategy
 from tidemark.session import ROCKSDB
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+from tidemark.shared import folder
 
 
 def available_now(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
