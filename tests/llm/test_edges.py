@@ -1,14 +1,16 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 
 import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_queries import check_pieces
+from brute import brute_sets, brute_similarity, check_pieces
 
 from tidemark.llm import ann, compression_quality, html_extract, language_id, mixing, near_dedup, packing, quality_rules, toxicity, warc
 from tidemark.llm.common import bounded_sample, slices
@@ -167,18 +169,19 @@ def test_compression(spark, documents, odd, empty):
 # WARC
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     big = "x" * 300_000 + "é"
-    rows = [(5, "u%\r\n", big), (3, None, big), (9, "u", big), (1, "a", "short"), (2, "a", "short"), (4, "n", None), (6, "e", ""), (None, "z", big), (7, "t", "WARC/1.1\r\n\r\n" * 20), (3, None, big)]
+    rows = [(5, "u%\r\n", big), (3, None, big), (9, "u", big), (1, "a", "short"), (2, "a", "short"), (4, "n", None), (6, "e", ""), (None, "z", big), (7, "t", "WARC/1.1\r\n\r\n" * 20), (3, None, big), (20, "http://x/a%20b?c=%0A", "y" * 200), (21, " http://x/é ", "y" * 200), (22, "", "y" * 200)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
-    folder, manifest = warc.write_archives(pages, archive_bytes=1000)
+    folder, manifest = warc.write_archives(pages, str(tmp_path / "kept"), archive_bytes=1000)
     records = warc.read_archives(folder, manifest).collect()
     assert len(records) == len(rows) and manifest.count() > 1
     for r in records:
         if r.record_type == "response":
             assert (r.page_id, r.url, bytes(r.payload).decode()) in {(i, u, h or "") for i, u, h in rows}
     got = sorted(((r.page_id or 0, r.record_type, r.refers_to) for r in records), key=str)
-    expected = [(0, "response", None), (1, "response", None), (2, "response", None), (3, "response", None), (3, "response", None), (4, "response", None), (5, "revisit", 3), (6, "response", None), (7, "response", None), (9, "revisit", 3)]
+    assert {r.url for r in records} == {u for _, u, _ in rows}
+    expected = [(20, "response", None), (21, "revisit", 20), (22, "revisit", 20), (0, "response", None), (1, "response", None), (2, "response", None), (3, "response", None), (3, "response", None), (4, "response", None), (5, "revisit", 3), (6, "response", None), (7, "response", None), (9, "revisit", 3)]
     assert got == sorted(expected, key=str)
     assert {r.payload_bytes for r in records if r.page_id in (5, 9)} == {300_002}
     folder, manifest = warc.write_archives(pages.limit(0))
@@ -189,7 +192,11 @@ def test_archives_are_standard(tmp_path):
     import gzip
     import io
 
-    record = warc._record(1, "http://a", b"<p>", "d" * 64, None, "2024-01-01T00:00:00Z")
+    date = "2024-01-01T00:00:00Z"
+    assert b"\r\nWARC-Target-URI: http://x/a%20b\r\n" in warc._record(1, "http://x/a%20b", b"", "d", None, None, date)
+    again = warc._record(2, "http://b", b"<p>", "d" * 64, 1, "http://a", date).decode().split("\r\n\r\n")[0].split("\r\n")
+    assert {"WARC-Type: revisit", f"WARC-Refers-To: {warc._record_id(1, 'd' * 64)}", "WARC-Refers-To-Target-URI: http://a", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {warc.REVISIT_PROFILE}"} <= set(again)
+    record = warc._record(1, "http://a", b"<p>", "d" * 64, None, None, date)
     data = warc._member(record, 4)
     assert gzip.decompress(data + data) == record * 2
     assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith(b"<p>\r\n\r\n")
@@ -214,6 +221,7 @@ def test_near_duplicates(documents, empty):
     rows += [(90 + i, prose(rng, 200)) for i in range(5)] + [(100, " ".join(base[:120] + prose(rng, 180).split())), (90, rows[-1][1]), (None, "lonely text without an id")]
     got = near_dedup.near_duplicates(documents(rows)).collect()
     assert len(got) == len(rows)
+    assert all((r.n_links > 0) == (r.doc_id is not None and (10 <= r.doc_id < 40 or r.doc_id in (80, 81))) for r in got)
     by = {r.doc_id: (r.class_id, r.class_size) for r in got if r.doc_id != 90}
     assert all(by[i] == (10, 30) for i in range(10, 40)) and all(by[50 + i] == (50, 20) for i in range(20))
     assert by[80] == by[81] == (80, 2) and by[82] == (82, 2) and by[100] == (100, 1)
@@ -233,41 +241,77 @@ def test_repeated_rows_leave_one(documents):
     assert {(r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()} == {(1, 6)}
 
 
+def some_weights(shingles):
+    """From 1 to almost 2 in steps of 1/1024, by the shingle."""
+    return 1 + (shingles % np.uint64(1024)).astype(float) / 1024
+
+
+def plain_weights(shingles):
+    return np.ones(len(shingles))
+
+
+def test_weights_and_similarities_by_definition(documents):
+    """More documents than make a single one frequent, a passage that many share, long repeats."""
+    rng = random.Random(19)
+    shared = prose(rng, 12)
+    texts = [prose(rng, rng.randrange(1, 30)) + (" " + shared) * (i % 3) for i in range(300)] + ["so " * 70_000, "So " * 100_000, "a b", "A b", None, ""]
+    sets, weight = brute_sets(texts)
+    assert 1 < min(weight.values()) < max(weight.values()) == round(1024 * 1.2) / 1024
+    weights = near_dedup.idf_weights(documents(list(enumerate(texts))).repartition(5))
+    held = near_dedup.set_bytes(pa.array(texts, pa.string()))
+    pairs = [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(500)] + [(300, 301), (302, 303), (304, 305)]
+    got = near_dedup.similarities([held[i] for i, _ in pairs], [held[j] for _, j in pairs], weights)
+    for (i, j), x in zip(pairs, got, strict=True):
+        assert x == (pytest.approx(brute_similarity(sets[i], sets[j], weight), abs=1e-12) if sets[i] and sets[j] else 0)
+    assert got[500] == pytest.approx(0.7, abs=1e-4) and got[501] == 1
+
+
 def test_sampling_estimates_the_weighted_similarity():
     """The share of equal samples is the weighted Jaccard similarity."""
-    rng, r2 = random.Random(9), np.random.default_rng(1)
-    weights = (1 + 3 * r2.random(1 << near_dedup.DF_BITS)).astype(np.float32)
+    rng = random.Random(9)
     a = prose(rng, 400).split()
     b = a[:280] + prose(rng, 120).split()
     pair = pa.array([" ".join(a), " ".join(b)])
-    _, keys = near_dedup.Sampler(weights, bands=900, rows=1)(pair)
+    _, keys = near_dedup.Sampler(some_weights, bands=900, rows=1)(pair)
     sets = near_dedup.set_bytes(pair)
-    exact = near_dedup.similarities(sets[:1], sets[1:], weights)[0]
+    exact = near_dedup.similarities(sets[:1], sets[1:], some_weights)[0]
     assert abs((keys[0] == keys[1]).mean() - exact) < 0.06
 
 
 def test_blocks_equal_pairs():
-    rng, r2 = random.Random(16), np.random.default_rng(2)
-    weights = (1 + r2.random(1 << near_dedup.DF_BITS)).astype(np.float32)
+    rng = random.Random(16)
     base = prose(rng, 120).split()
     texts = [" ".join(base[: rng.randrange(10, 120)] + prose(rng, rng.randrange(40)).split() + ["again and again"] * rng.randrange(9)) for _ in range(40)]
     sets = [*near_dedup.set_bytes(pa.array(texts)), b""]
     for dense_from in (1, 50, 10**9):
-        matrix = near_dedup.block_similarities(sets[:25], sets[20:], weights, dense_from, 64)
-        for i in range(25):
-            row = near_dedup.similarities([sets[i]] * 21, sets[20:], weights)
-            assert np.allclose(matrix[i], row, atol=1e-5)
+        matrix = near_dedup.block_similarities(sets[:25], sets[20:], some_weights, dense_from, 64)
+        for i in range(25):  # to the last bit, so that a pair at the threshold is judged alike everywhere
+            assert np.array_equal(matrix[i], near_dedup.similarities([sets[i]] * 21, sets[20:], some_weights))
 
 
 def test_occurrences_are_counted_in_full():
-    weights = np.ones(1 << near_dedup.DF_BITS, np.float32)
     times = [1, 65534, 65535, 65536, 99_996, 131_070, 131_071, 199_996]
     sets = near_dedup.set_bytes(pa.array(["it " * (n % 2) + "so " * (n + 4) for n in times]))
-    assert near_dedup._load(sets, weights)[2].max() == 199_996
+    assert near_dedup._load(sets, plain_weights)[2].max() == 199_996
     # One shingle n times, and one more shingle in texts of an odd n.
     expected = [[(min(a, b) + a % 2 * (b % 2)) / (max(a, b) + max(a % 2, b % 2)) for b in times] for a in times]
-    pairs = [near_dedup.similarities([x] * len(sets), sets, weights) for x in sets]
-    assert np.allclose(pairs, expected, atol=1e-9) and np.allclose(near_dedup.block_similarities(sets, sets, weights), expected, atol=1e-5)
+    pairs = [near_dedup.similarities([x] * len(sets), sets, plain_weights) for x in sets]
+    assert np.allclose(pairs, expected, atol=1e-9) and np.array_equal(near_dedup.block_similarities(sets, sets, plain_weights), pairs)
+
+
+def test_many_empty_texts_in_a_batch(spark, documents):
+    """More rows in an Arrow batch than a call of the shingles takes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, 100_000)
+    try:
+        blank = spark.range(70_000).coalesce(1).select("id", F.when(F.col("id") % 2 == 0, "").alias("text"))
+        docs = blank.select(F.col("id").alias("doc_id"), "text").unionByName(documents([(100_001, "one two three"), (100_002, "One two three")]).select("doc_id", "text")).coalesce(1)
+        rows = near_dedup.near_duplicates(docs)
+        assert rows.where("class_size > 1").orderBy("doc_id").select("doc_id", "class_id", "n_links").collect() == [(100_001, 100_001, 1), (100_002, 100_001, 1)]
+        assert rows.count() == 70_002
+    finally:
+        spark.conf.set(key, old)
 
 
 def test_large_buckets_lose_no_link(spark, documents):
@@ -537,7 +581,7 @@ def test_bounded_sample(spark):
 
 def test_slices_cover_a_batch():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 100, "", "c"])], names=["t"])
-    parts = [s.column("t").to_pylist() for s in slices(batch, "t", 20)]
+    parts = [s.column("t").to_pylist() for s in slices(batch, "t", max_bytes=20)]
     assert sum(parts, []) == batch.column("t").to_pylist() and max(map(len, parts)) < 5
     assert list(slices(batch.slice(0, 0), "t")) == []
 

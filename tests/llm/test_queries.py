@@ -6,11 +6,11 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from brute import brute_sets, brute_similarity, check_pieces
 
 import corpus_pipeline
-from tidemark.llm import near_dedup, queries
+from tidemark.llm import queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -68,9 +68,9 @@ def test_op5_against_a_loop(spark, duck, sf_dir):
 
 
 def test_op6_against_all_pairs(spark, duck, sf_dir):
-    docs = duck.execute("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall()
-    weights = near_dedup.idf_weights(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    ids, sets = [i for i, _ in docs], near_dedup.set_bytes(pa.array([t for _, t in docs], pa.string()))
+    """Classes by the definition: every pair of texts compared by sets and weights made here."""
+    docs = duck.execute("SELECT doc_id, text FROM documents").fetchall()
+    ids, (sets, weight) = [i for i, _ in docs], brute_sets([t for _, t in docs])
     parent = {i: i for i in ids}
 
     def find(x):
@@ -78,13 +78,20 @@ def test_op6_against_all_pairs(spark, duck, sf_dir):
             x = parent[x]
         return x
 
-    for k in range(len(docs)):
-        sims = near_dedup.similarities([sets[k]] * k, sets[:k], weights)
-        for j in np.flatnonzero(sims >= 0.8):
-            a, b = sorted((find(ids[k]), find(ids[j])))
-            parent[b] = a
-    rows = {r.doc_id: r.class_id for r in queries.op6_weighted_minhash(spark, sf_dir).collect()}
-    assert rows == {i: find(i) for i in ids}
+    holders = collections.defaultdict(set)
+    linked = collections.Counter()
+    for k, s in enumerate(sets):
+        for j in set().union(*(holders[x] for x in s)) if s else ():
+            if brute_similarity(s, sets[j], weight) >= 0.8:
+                a, b = sorted((find(ids[k]), find(ids[j])))
+                parent[b] = a
+                linked[ids[k]] += 1
+                linked[ids[j]] += 1
+        for x in s:
+            holders[x].add(k)
+    rows = {r.doc_id: r for r in queries.op6_weighted_minhash(spark, sf_dir).collect()}
+    assert {i: r.class_id for i, r in rows.items()} == {i: find(i) for i in ids}
+    assert all(r.n_links <= linked[i] for i, r in rows.items())
 
 
 def test_op7_round_trip(spark, duck, sf_dir):
@@ -98,24 +105,6 @@ def test_op7_round_trip(spark, duck, sf_dir):
     check_pieces(rows, {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in docs.items()})
 
 
-def check_pieces(rows, ids):
-    at, used, places = collections.defaultdict(int), collections.Counter(), collections.defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
-        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
-        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
-        at[r.doc_id] += r.length
-        used[r.sequence_id] += r.length
-        places[r.sequence_id].append((r.offset, r.length))
-    assert at == {i: len(x) for i, x in ids.items()}
-    for s in places.values():
-        end = 0
-        for offset, length in sorted(s):
-            assert offset == end
-            end += length
-    padding = sum(1024 - n for n in used.values() if n & (n - 1))
-    assert max(used.values()) <= 1024 and padding <= 0.01 * sum(used.values())
-
-
 def test_op9_recall(spark, duck, sf_dir):
     rows = duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)

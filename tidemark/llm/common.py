@@ -1,9 +1,7 @@
-"""Shared helpers of the training-data operators: shared folders, written tables, bounded samples."""
+"""Shared helpers of the training-data operators: tables, free column names, bounded samples, runs of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,26 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import discard, folder, written
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+__all__ = ["bounded_sample", "crc_mod", "discard", "first_rows", "folder", "read", "slices", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -38,14 +23,22 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
-def bounded_sample(df: DataFrame, key: str, label: str, per_label: int, seed: int, *columns: Column) -> list[dict]:
+def first_rows(rows: DataFrame, most: int, *order: str) -> list[dict]:
+    """At most ``most`` distinct rows, the first by ``order`` and then by all columns, whatever the partitioning."""
+    rest = [c for c in rows.columns if c not in order]
+    return rows.distinct().orderBy(*order, *rest).limit(most).toArrow().to_pylist()
+
+
+def bounded_sample(df: DataFrame, key: str, label: str, per_label: int, seed: int, *columns: Column, most_labels: int = 64) -> list[dict]:
     """About ``per_label`` rows of each non-null label, never over twice that, chosen by a seeded hash of ``key``.
 
     The label counts come from one aggregation; the rows are picked by a hash threshold, so that no label,
-    however frequent, is gathered in one task. The result does not depend on the partitioning.
+    however frequent, is gathered in one task. Of more than ``most_labels`` labels the most frequent are taken, ties
+    by name. Equal rows count once; if a key with many different rows would exceed the bound, the first rows by hash,
+    key and content are taken. The result does not depend on the partitioning.
     """
     known = df.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
     if not counts:
         return []
     scale = 1 << 30
@@ -54,16 +47,16 @@ def bounded_sample(df: DataFrame, key: str, label: str, per_label: int, seed: in
     for value, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
         chosen = chosen | ((F.col(label) == F.lit(value)) & (draw < F.lit(min(scale, -(-scale * per_label // n)))))
     rows = known.where(chosen).select(F.col(key).alias("key"), F.col(label).alias("label"), draw.alias("draw"), *columns)
-    rows = rows.limit(2 * per_label * len(counts)).toArrow().to_pylist()
-    return sorted(rows, key=lambda r: (r["draw"], str(r["key"]), str(sorted(map(str, r.values())))))
+    return first_rows(rows, 2 * per_label * len(counts), "draw", "key", "label")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose texts hold about ``max_bytes``; a longer text gets a run of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+def slices(batch: pa.RecordBatch, *columns: str, max_bytes: int = 1 << 19, max_rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``max_rows`` rows whose values in ``columns`` hold about ``max_bytes``; a
+    longer value gets a run of its own."""
+    sizes = [sum(x) for x in zip(*(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_pylist() for c in columns), strict=True)]
     at, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > at and held + n > max_bytes:
+        if i > at and (held + n > max_bytes or i - at >= max_rows):
             yield batch.slice(at, i - at)
             at, held = i, 0
         held += n

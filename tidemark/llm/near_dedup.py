@@ -1,77 +1,144 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A document's weighted set holds its five-word shingles; a weight is the number of occurrences times
-``1 + IDF_STRENGTH * idf``, idf scaled to 0..1. The idf is damped so that a large group of near copies does not weigh
-down the very shingles that it shares. Document frequencies are counted over all documents in 2 ** DF_BITS
-hashed counters, less the mean load of a counter: a table of fixed size, whatever the corpus.
+``1 + IDF_STRENGTH * idf``. The idf is ``log(N / df)`` over ``log(FREQUENT)``, cut to 0..1: a shingle that fewer than one in
+``FREQUENT`` documents hold has idf 1, one in every document 0. So it depends on shares of the corpus alone, and only
+the document frequencies of frequent shingles matter. These are exact: hashed counters over all documents find the
+buckets that may hold a frequent shingle, and a second pass counts the shingles of those buckets one by one. At most
+``FREQUENT`` times the mean number of shingles of a document can be frequent, so the table has a bound that does not
+grow with the corpus. The idf is damped so that a large group of near copies does not weigh down the very shingles
+that it shares. Weights are multiples of 1/1024, so that sums are exact in double precision in any order, and a pair is
+judged alike wherever it is compared.
 
 ``BANDS`` bands of ``ROWS`` samples each propose pairs, which are verified by the exact weighted Jaccard similarity of
 the whole texts' sets. Equal texts are one node from the start. Within a bucket, pairs are not emitted: two rounds
 compare members to one pivot each. A bucket whose members are then connected is done; of the others, small ones
 compare the pairs that are still unconnected, and large ones are cut into blocks of about ``BLOCK`` members, of which
 each pair of blocks is compared by one matrix product; blocks of the bucket's largest component are not compared
-to each other. So no proposed link between classes is lost, and there is no cap. Classes are the connected
-components of the verified links.
+to each other. So no proposed link between classes is lost, and there is no cap. A bucket of n members that are not
+connected moves each of their sets n / ``BLOCK`` times; that is quadratic, but only such buckets pay for it. Members of a
+bucket are salted wherever it is joined, so a hot bucket is many tasks. Classes are the connected components of the
+verified links.
 
 Documents without a word (null, empty, blank) are never grouped. Texts of fewer words than a shingle have
 one shingle of all of them. Words are lower-cased. Repeated rows share their class; a class is named by its
-smallest doc_id, null only if it has no other. Other columns of the input are ignored.
+smallest doc_id, null only if it has no other. An empty table gives no rows. Other columns of the input are ignored
+by ``near_duplicates`` and kept as they are, whatever their names, by ``keep``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, written
+from tidemark.llm.common import discard, slices, written
 from tidemark.llm.text import Words, mix, shingle_keys, unique_counts
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 9, 3
-DF_BITS, TABLE_BITS = 18, 15
+FREQUENT = 128
+TABLE_BITS = 15
 IDF_STRENGTH = 0.2
-SALTS = 64
+SALTS = 64  # at most 64: the salts that a bucket has are bits of a long
 SMALL, BLOCK = 16, 512
+WORD = r"[^\x20\x09-\x0D]"
 _LOW48 = np.uint64((1 << 48) - 1)
 _MOST = 65535  # occurrences in one element of a packed set
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (mix(shingles) >> np.uint64(64 - DF_BITS)).astype(np.int64)
+class Weights:
+    """The weight of one occurrence: of the frequent shingles by table, of all others ``rare``."""
 
+    def __init__(self, shingles: np.ndarray, weights: Weights, rare: float):
+        self.shingles, self.weights, self.rare = shingles, weights, rare
 
-def idf_weights(docs: DataFrame) -> np.ndarray:
-    """The weight of an occurrence by hashed counter, from document frequencies over all of ``docs``."""
+    def __reduce__(self):
+        return Weights, (self.shingles, self.weights, self.rare)
+
+    @cached_property
+    def maybe(self) -> np.ndarray:
+        held = np.zeros(1 << 20, bool)
+        held[(self.shingles >> np.uint64(28)).astype(np.intp)] = True
+        return held
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(len(shingles), self.rare)
+        if len(self.shingles):
+            at = np.flatnonzero(self.maybe[(shingles >> np.uint64(28)).astype(np.intp)])
+            i = np.minimum(np.searchsorted(self.shingles, shingles[at]), len(self.shingles) - 1)
+            same = self.shingles[i] == shingles[at]
+            out[at[same]] = self.weights[i[same]]
+        return out
+
+
+def weight_of(frequency: np.ndarray, documents: int) -> np.ndarray:
+    """The weight of one occurrence by document frequency, a multiple of 1/1024."""
+    idf = np.clip(np.log(max(1, documents) / np.maximum(1, frequency)) / np.log(FREQUENT), 0, 1)
+    return np.round(1024 * (1 + IDF_STRENGTH * idf)) / 1024
+
+
+def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(shingles) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def idf_weights(docs: DataFrame) -> Weights:
+    """Weights from exact document frequencies over all of ``docs``."""
+    texts = docs.select("text")
+    documents, chars = texts.agg(F.count_if(F.col("text").rlike(WORD)), F.coalesce(F.avg(F.when(F.col("text").rlike(WORD), F.length("text"))), F.lit(0.0))).first()
+    rare = float(weight_of(np.zeros(1), max(documents, FREQUENT))[0])
+    # Counters enough for the mean load to be well below the count that makes a shingle frequent.
+    bits = min(24, max(12, math.ceil(math.log2(4 * FREQUENT * (1 + chars / 6)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, with_words = np.zeros(1 << DF_BITS, np.int64), 0
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for piece in slices(batch, "text"):
                 keys, _ = unique_counts(shingle_keys(Words(piece.column("text")), SHINGLE))
-                counts += np.bincount(_bucket(keys & _LOW48), minlength=1 << DF_BITS)
-                with_words += len(unique_counts(keys >> np.uint64(48))[0])
+                counts += np.bincount(_bucket(keys & _LOW48, bits), minlength=1 << bits)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], with_words))], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
 
-    # At most 2 ** DF_BITS + 1 rows come to the driver.
-    sums = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    at, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
-    total = int(n[at < 0].sum())
-    frequency = np.zeros(1 << DF_BITS)
-    frequency[at[at >= 0]] = n[at >= 0]
-    frequency = np.maximum(1.0, frequency - frequency.mean())
-    return (1 + IDF_STRENGTH * np.clip(np.log((1 + total) / (1 + frequency)) / np.log(2 + total), 0, 1)).astype(np.float32)
+    # Either table has at most FREQUENT times the mean number of shingles of a document rows on the driver.
+    often = F.sum("n").alias("n"), F.col("n") * FREQUENT >= documents
+    buckets = texts.mapInArrow(count, "at long, n long").groupBy("at").agg(often[0]).where(often[1]).toArrow()
+    chosen = np.zeros(1 << bits, bool)
+    chosen[buckets.column("at").to_numpy()] = True
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times)], names=["at", "n"])
+
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                keys, _ = unique_counts(shingle_keys(Words(piece.column("text")), SHINGLE))
+                keys &= _LOW48
+                held.append(keys[chosen[_bucket(keys, bits)]])
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    if not chosen.any():
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), rare)
+    counted = texts.mapInArrow(exact, "at long, n long").groupBy("at").agg(often[0]).where(often[1]).toArrow().sort_by("at")
+    return Weights(counted.column("at").to_numpy().astype(np.uint64), weight_of(counted.column("n").to_numpy(), documents), rare)
 
 
 class Sampler:
     """Band keys of weighted sets by improved consistent weighted sampling, the random draws from tables by hash."""
 
-    def __init__(self, weights: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 6):
+    def __init__(self, weights: Weights, bands: int = BANDS, rows: int = ROWS, seed: int = 6):
         rng = np.random.default_rng(seed)
         k, m = bands * rows, 1 << TABLE_BITS
         self.weights, self.bands, self.rows = weights, bands, rows
@@ -86,7 +153,7 @@ class Sampler:
         if not len(keys):
             return np.zeros(0, np.int64), np.zeros((0, self.bands), np.int64)
         doc, shingle = keys >> np.uint64(48), keys & _LOW48
-        log_w = np.log(times * self.weights[_bucket(shingle)]).astype(np.float32)
+        log_w = np.log(times * self.weights(shingle)).astype(np.float32)
         starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         lengths = np.diff(np.append(starts, len(doc)))
         number = np.repeat(np.arange(len(starts)), lengths)
@@ -117,7 +184,7 @@ def set_bytes(texts: pa.Array) -> list[bytes]:
     return [packed[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _load(sets: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _load(sets: list[bytes], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, shingle, occurrences and weight of one occurrence for all shingles."""
     data = np.frombuffer(b"".join(sets), np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets])
@@ -125,11 +192,11 @@ def _load(sets: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if (times == _MOST).any():
         first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1]))))
         row, shingle, times = row[first], shingle[first], np.add.reduceat(times, first)
-    return row, shingle, times, weights[_bucket(shingle)].astype(np.float64)
+    return row, shingle, times, weights(shingle)
 
 
-def similarities(left: list[bytes], right: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of two lists of sets, one by one; 0 where either is empty. Under 65536 of them."""
+def similarities(left: list[bytes], right: list[bytes], weights: Weights) -> np.ndarray:
+    """Weighted Jaccard similarity of two lists of under 65536 sets, one by one; 0 where either is empty."""
     n = len(left)
     (ra, sa, ta, w), (rb, sb, tb, wb) = _load(left, weights), _load(right, weights)
     total = np.bincount(ra, weights=ta * w, minlength=n) + np.bincount(rb, weights=tb * wb, minlength=n)
@@ -142,7 +209,7 @@ def similarities(left: list[bytes], right: list[bytes], weights: np.ndarray) ->
     return shared / np.maximum(total - shared, 1e-12)
 
 
-def _features(sets: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(sets: list[bytes], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and weight of every occurrence: the j-th of a shingle is a feature of its own, so that sums over
     common features are sums of minima."""
     row, shingle, times, w = _load(sets, weights)
@@ -151,7 +218,7 @@ def _features(sets: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[again], mix(shingle[again] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), w[again]
 
 
-def block_similarities(left: list[bytes], right: list[bytes], weights: np.ndarray, dense_from: int = 4096, width: int = 2048) -> np.ndarray:
+def block_similarities(left: list[bytes], right: list[bytes], weights: Weights, dense_from: int = 4096, width: int = 2048) -> np.ndarray:
     """The matrix of similarities between two blocks of sets."""
     (ra, fa, wa), (rb, fb, wb) = _features(left, weights), _features(right, weights)
     na, nb = len(left), len(right)
@@ -171,7 +238,7 @@ def block_similarities(left: list[bytes], right: list[bytes], weights: np.ndarra
         dense = ca * cb >= dense_from
         column = np.cumsum(dense) - 1
         for low in range(0, int(dense.sum()), width):
-            x, y = np.zeros((na, width), np.float32), np.zeros((nb, width), np.float32)
+            x, y = np.zeros((na, width)), np.zeros((nb, width))
             for matrix, r, i, v in ((x, ra, ia, wa), (y, rb, ib, None)):
                 use = dense[i] & (column[i] >= low) & (column[i] < low + width)
                 matrix[r[use], column[i[use]] - low] = 1 if v is None else v[use]
@@ -203,7 +270,7 @@ def node_of(text: str | Column) -> Column:
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
 
 
-def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """doc_id, node and bands per row; node and bands are null without a word."""
     rows = docs.select("doc_id", "text", node_of("text").alias("node"))
 
@@ -239,19 +306,20 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges, before = written(small, "cc"), now
+        last, edges, before = edges, written(small, "cc"), now
         now = state(edges)
+        discard(last)
         if now == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches ``threshold``; b, which may be in many pairs, is salted."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "sa"):
+            for piece in slices(batch, "sa", "sb", max_bytes=1 << 21):
                 kept = similarities(piece.column("sa").to_pylist(), piece.column("sb").to_pylist(), weights) >= threshold
                 yield piece.select(["a", "b"]).filter(pa.array(kept))
 
@@ -261,26 +329,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, weights: np.ndarray, threshold:
     return left.join(right, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary")
 
 
+def _per_band(rows: DataFrame, where: Column, *aggs: Column) -> DataFrame:
+    """The aggregates of the bands that meet ``where``, a row for each salt that the band's members have: joined by
+    band and salt, a hot band is as many tasks. The aggregates are combined before the shuffle."""
+    whole = rows.groupBy("band").agg(*aggs, F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).where(where)
+    return whole.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1))).drop("salts")
+
+
+def _salt(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int").alias("salt")
+
+
 def _open(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members (band, node, comp) of the buckets that hold more than one component."""
+    """Members (band, salt, node, comp) of the buckets that hold more than one component."""
     if comps is None:
         return members.withColumn("comp", F.col("node"))
     rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    return rows.join(open_, "band")
+    return rows.join(_per_band(rows, F.expr("low <> high"), F.min("comp").alias("low"), F.max("comp").alias("high")).select("band", "salt"), ["band", "salt"])
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """Links between members of different components in large buckets: rows are (band, node, comp).
+def _block_links(rows: DataFrame, sets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links between members of different components in large buckets: rows are (band, salt, node, comp).
 
     The members of a bucket's largest component (side 0) and the others (side 1) are dealt into blocks by hash.
     Compared are all pairs of blocks of side 1, and each block of side 1 with each of side 0.
     """
-    per = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    stats = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    per = rows.groupBy("band", "comp").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("has"))
+    stats = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.bit_or("has").alias("has"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    stats = stats.select("band", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("n0"), blocks(F.col("all") - F.col("top.n")).alias("n1"))
-    rows = rows.join(stats, "band").withColumn("side", (F.col("comp") != F.col("top")).cast("int"))
+    stats = stats.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("has", s) == 1)))
+    stats = stats.select("band", "salt", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("n0"), blocks(F.col("all") - F.col("top.n")).alias("n1"))
+    rows = rows.join(stats, ["band", "salt"]).withColumn("side", (F.col("comp") != F.col("top")).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.when(F.col("side") == 1, F.col("n1")).otherwise(F.col("n0")).cast("long")).cast("int"))
     # A pair of blocks is (i of side 1, j): j counts the blocks of side 1 from i on, then those of side 0.
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -306,12 +385,13 @@ def _block_links(rows: DataFrame, sets: DataFrame, weights: np.ndarray, threshol
     return rows.join(sets, "node").groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def classes(docs: DataFrame, signed: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """Per node: class_id, class_size and class_node, the node that holds the row named by class_id."""
+def classes(docs: DataFrame, signed: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
+    """Per node: class_id, class_size, class_node (the node that holds the row named by class_id) and n_links, the
+    number of other texts to which a link was verified; what lies within one component by then is not verified."""
     nodes = written(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "dedup-nodes")
-    bands = signed.where(F.col("node").isNotNull()).select(F.explode("bands").alias("band"), "node").distinct()
-    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band")
-    members = written(bands.join(shared, "band"), "dedup-buckets")
+    bands = signed.where(F.col("node").isNotNull()).select(F.explode("bands").alias("band"), _salt("node"), "node").distinct()
+    shared = _per_band(bands, F.expr("low <> high"), F.min("node").alias("low"), F.max("node").alias("high")).select("band", "salt")
+    members = written(bands.join(shared, ["band", "salt"]), "dedup-buckets")
     none = F.lit(np.iinfo(np.int64).min)
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.coalesce("first", none).alias("first"))
     texts = docs.select("text", node_of("text").alias("node"), F.coalesce("doc_id", none).alias("first")).join(wanted, ["node", "first"])
@@ -322,46 +402,54 @@ def classes(docs: DataFrame, signed: DataFrame, weights: np.ndarray, threshold:
                 yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(set_bytes(piece.column("text")), pa.binary())], names=["node", "set"])
 
     sets = written(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(pack, "node binary, set binary"), "dedup-sets")
-    links: DataFrame | None = None
+    proven: list[DataFrame] = []
     comps: DataFrame | None = None
     tested: DataFrame | None = None
 
     def join_links(found: DataFrame) -> None:
-        nonlocal links, comps
-        links = found if links is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
-        comps = written(components(links), "dedup-comps")
+        nonlocal comps
+        links = found if comps is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
+        last, edges = comps, components(links)
+        comps = written(edges, "dedup-comps")
+        discard(last)
+        proven.append(found)
 
     for by in (F.struct("node"), F.struct(F.xxhash64("node"), "node")):
         rows = _open(members, comps)
-        pivots = rows.groupBy("band").agg(F.min_by(F.struct("node", "comp"), by).alias("p")).select("band", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"))
-        pairs = rows.join(pivots, "band").where("comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        pivots = _per_band(rows, F.lit(True), F.min_by(F.struct("node", "comp"), by).alias("p")).select("band", "salt", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"))
+        pairs = rows.join(pivots, ["band", "salt"]).where("comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "dedup-pairs")
-        tested = pairs
-        join_links(written(_verified(pairs, sets, weights, threshold), "dedup-links"))
+        last, tested = tested, written(pairs, "dedup-pairs")
+        discard(last)
+        join_links(written(_verified(tested, sets, weights, threshold), "dedup-links"))
     rest = written(_open(members, comps), "dedup-open")
-    sizes = rest.groupBy("band").agg(F.count("*").alias("n"))
-    small = rest.join(sizes.where(F.col("n") <= SMALL).select("band"), "band")
+    few = _per_band(rest, F.lit(True), F.count("*").alias("members"))
+    small = rest.join(few.where(F.col("members") <= SMALL).select("band", "salt"), ["band", "salt"])
     other = small.select("band", F.col("node").alias("b"), F.col("comp").alias("other_comp"))
     pairs = written(small.withColumnRenamed("node", "a").join(other, "band").where("comp < other_comp").select("a", "b").distinct(), "dedup-pairs")
-    large = rest.join(sizes.where(F.col("n") > SMALL).select("band"), "band")
+    large = rest.join(few.where(F.col("members") > SMALL).select("band", "salt"), ["band", "salt"])
     found = _verified(pairs, sets, weights, threshold).unionByName(_block_links(large, sets, weights, threshold))
     join_links(written(found, "dedup-links"))
-    rows = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    discard(members, sets, tested, rest, pairs)
+    ends = reduce(DataFrame.unionByName, proven).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    n_links = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    rows = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(n_links, "node", "left")
     order = F.struct(F.col("first").isNull(), "first", "node")
     named = rows.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.min_by("node", order).alias("class_node"))
-    return rows.join(named, "comp").select("node", "class_id", "class_size", "class_node")
+    return rows.join(named, "comp").select("node", "class_id", "class_size", "class_node", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id and class_size (rows in the class) for every row of ``docs``."""
+    """doc_id, class_id, class_size (rows in the class) and n_links (other texts to which a link was verified, at
+    least one if the class holds another text) for every row of ``docs``."""
     weights = idf_weights(docs)
     signed = written(signatures(docs, weights), "dedup-signatures")
     known = classes(docs, signed, weights, threshold)
-    rows = signed.where(F.col("node").isNotNull()).select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "class_size")
-    alone = signed.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return rows.unionByName(alone)
+    columns = ("doc_id", "class_id", "class_size", "n_links")
+    rows = signed.where(F.col("node").isNotNull()).select("doc_id", "node").join(known, "node").select(*columns)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    return rows.unionByName(signed.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), zero.alias("n_links")))
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -371,11 +459,10 @@ def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = classes(docs, signed, weights, threshold)
     wordy = signed.where(F.col("node").isNotNull())
     none = F.lit(np.iinfo(np.int64).min)
-    times = wordy.groupBy("node", F.coalesce("doc_id", none).alias("_id")).agg(F.count("*").alias("_times"))
-    reps = known.where(F.col("node") == F.col("class_node")).select("node", F.coalesce("class_id", none).alias("_id")).join(times, ["node", "_id"])
-    reps = reps.select(F.col("node").alias("_node"), "_id", "_times")
-    rows = docs.withColumn("_node", node_of("text")).withColumn("_id", F.coalesce("doc_id", none)).join(reps, ["_node", "_id"])
-    once = rows.where("_times = 1").select(*docs.columns)
-    again = rows.where("_times > 1").dropDuplicates(["_node", "_id"]).select(*docs.columns)
-    blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    times = wordy.groupBy("node", F.coalesce("doc_id", none).alias("id")).agg(F.count("*").alias("times"))
+    reps = known.where(F.col("node") == F.col("class_node")).select("node", F.coalesce("class_id", none).alias("id")).join(times, ["node", "id"])
+    rows = docs.select(F.struct("*").alias("row"), node_of("text").alias("node"), F.coalesce("doc_id", none).alias("id")).join(reps, ["node", "id"])
+    once = rows.where("times = 1").select("row.*")
+    again = rows.where("times > 1").dropDuplicates(["node", "id"]).select("row.*")
+    blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(WORD))
     return reduce(DataFrame.unionByName, (once, again, blank))
