@@ -6,22 +6,31 @@ smaller payloads are always responses. Archives are written with fresh headers,
 record, and rolled at ``archive_bytes``; names hold a random part and only those of tasks that committed are
 listed in the manifest, so a task that is run again leaves nothing that is read.
 
+URIs are written as they are given; one that no header line can hold (line breaks, blanks at its ends) is written with
+its line breaks percent-encoded, and whole, as JSON, in a field of its own. A revisit names the response by record id,
+URI and date. All records of a call have the date of that call, or the one that is given.
+
 Null payloads are empty ones. Records that repeat the smallest id with the same payload, and null ids, are
-responses. An empty table gives an empty manifest. Other columns of the input are ignored.
+responses; if such records differ in their URI, revisits name the smallest. An empty table gives an empty manifest.
+Other columns of the input are ignored. Archives in a folder that the caller names stay there, others go with the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, written
+from tidemark.llm.common import folder as shared_folder
+from tidemark.llm.common import written
+from tidemark.shared import delete_at_exit
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -30,11 +39,11 @@ _RECORDS = "page_id long, url string, payload binary, payload_bytes long, payloa
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """The revisits among ``headers`` (page_id, payload_digest, payload_bytes): page_id, payload_digest, refers_to."""
-    large = headers.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
-    firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("other"))
-    firsts = firsts.where(F.col("other") > F.col("refers_to")).drop("other")
-    return large.join(firsts, "payload_digest").where(F.col("page_id") > F.col("refers_to")).distinct()
+    """The revisits among ``headers`` (page_id, url, payload_digest, payload_bytes): page_id, payload_digest, refers_to, refers_to_url."""
+    large = headers.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "url", "payload_digest")
+    firsts = large.groupBy("payload_digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("other"))
+    firsts = firsts.where(F.col("other") > F.col("first.page_id")).select("payload_digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_to_url"))
+    return large.join(firsts, "payload_digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "payload_digest", "refers_to", "refers_to_url").distinct()
 
 
 def _record_id(page_id: int | None, digest: str) -> str:
@@ -45,7 +54,14 @@ def _header(fields: list[tuple[str, object]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def _uri(field: str, url: str | None) -> list[tuple[str, object]]:
+    if url is None:
+        return []
+    line = url.replace("\r", "%0D").replace("\n", "%0A")
+    return [(field, line)] if line == url == url.strip() else [(field, line), (f"X-{field}-JSON", json.dumps(url))]
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None, date: str) -> bytes:
     revisit = refers_to is not None
     block = HTTP_HEAD + (b"" if revisit else payload)
     fields: list[tuple[str, object]] = [
@@ -55,10 +71,10 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     ]
     if page_id is not None:
         fields.append(("X-Page-Id", page_id))
-    if url is not None:
-        fields.append(("WARC-Target-URI", "".join(f"%{ord(c):02X}" if c in "%\r\n" else c for c in url)))
+    fields += _uri("WARC-Target-URI", url)
     if revisit:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _record_id(refers_to, digest)), ("X-Refers-To-Page", refers_to)]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _record_id(refers_to, digest)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", refers_to)]
+        fields += _uri("WARC-Refers-To-Target-URI", refers_to_url)
     return _header(fields) + block + b"\r\n\r\n"
 
 
@@ -76,13 +92,13 @@ def _writer(folder: str, archive_bytes: int, level: int, date: str) -> Callable:
         out, path, written_bytes, records = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to")]
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to", "refers_to_url")]
             for i in range(batch.num_rows):
-                page_id, url, payload, digest, refers_to = (c[i].as_py() for c in columns)
+                record = _record(*(c[i].as_py() for c in columns), date)
                 if out is None:
                     path, written_bytes, records = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(path, compression=None)
-                written_bytes += out.write(_member(_record(page_id, url, payload, digest, refers_to, date), level)) or 0
+                written_bytes += out.write(_member(record, level)) or 0
                 records += 1
                 if out.tell() >= archive_bytes:
                     done.append((path, out.tell(), records))
@@ -103,15 +119,19 @@ def _qualified(spark, folder: str) -> str:
     return uri if "://" in uri else uri.replace(":/", ":///", 1)
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 100, archive_bytes: int = 64 << 20, level: int = 4, date: str = "2024-01-01T00:00:00Z") -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 100, archive_bytes: int = 64 << 20, level: int = 4, date: str | None = None) -> tuple[str, DataFrame]:
     """Write one record per row of ``pages`` (page_id, url, html); the folder's URI and the manifest (path, bytes, records)."""
-    folder = _qualified(pages.sparkSession, shared_dir(pages.sparkSession, "warc"))
+    spark = pages.sparkSession
+    uri = _qualified(spark, folder or shared_folder(spark, "warc"))
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    revisits = resolve_revisits(rows.select("page_id", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), min_bytes)
-    tagged = rows.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_digest", "refers_to")
-    manifest = tagged.mapInArrow(_writer(folder, archive_bytes, level, date), "path string, bytes long, records long")
-    return folder, written(manifest, "warc-manifest")
+    revisits = resolve_revisits(rows.select("page_id", "url", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), min_bytes)
+    tagged = rows.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_digest", "refers_to", "refers_to_url")
+    manifest = written(tagged.mapInArrow(_writer(uri, archive_bytes, level, date), "path string, bytes long, records long"), "warc-manifest")
+    if folder is None:
+        delete_at_exit(spark, uri)
+    return uri, manifest
 
 
 def parse_archive(stream) -> Iterator[tuple]:
@@ -150,9 +170,8 @@ def parse_archive(stream) -> Iterator[tuple]:
         payload = block[block.find(b"\r\n\r\n") + 4 :] if kind == "response" else None
         if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"payload digest differs in {fields['WARC-Record-ID']}")
-        url = fields.get("WARC-Target-URI")
-        for code in ("0D", "0A", "25"):
-            url = url and url.replace(f"%{code}", chr(int(code, 16)))
+        whole = fields.get("X-WARC-Target-URI-JSON")
+        url = json.loads(whole) if whole else fields.get("WARC-Target-URI")
         number = lambda k, f=fields: int(f[k]) if k in f else None
         yield number("X-Page-Id"), url, payload, number("X-Payload-Length"), digest, kind, number("X-Refers-To-Page")
 
