@@ -467,10 +467,10 @@ def test_neighbours_with_odd_vectors(spark):
     same = [(1000 + i, [3.0] * 8) for i in range(400)]  # ties beyond any shortlist
     bad = [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [1.0, None] * 4), (2080, [1.0]), (None, [1.0] * 8), (2100, [float("inf")] * 8)]
     df = spark.createDataFrame([(*r, "x") for r in rows + same + bad], "vec_id long, embedding array<float>, score string")
-    books, index = ann.build(df)
-    assert index.count() == 700
+    index = ann.build(df)
+    assert index.table.count() == 700
     got = collections.defaultdict(list)
-    for r in ann.search(index, books, F.col("vec_id") % 20 == 0, shortlist=100).collect():
+    for r in ann.search(index, F.col("vec_id") % 20 == 0, least=100).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     ids = np.array([i for i, _ in rows + same])
     whole = np.array([v for _, v in rows + same], np.float64)
@@ -482,19 +482,51 @@ def test_neighbours_with_odd_vectors(spark):
         hits += len(set(best) & {v for _, v, _ in found})
     assert sorted(got) == [i for i in ids.tolist() if i % 20 == 0] and hits >= 0.9 * 20 * len(got)
     assert [v for _, v, _ in sorted(got[1000])] == list(range(1001, 1021))
-    books, index = ann.build(df.limit(0))
-    assert ann.search(index, books, F.col("vec_id") % 20 == 0).count() == 0
+    assert ann.search(ann.build(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_few_candidates_and_other_measure(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    books, index = ann.build(df)
-    rows = ann.search(index, books, F.col("vec_id") == 0).orderBy("rank").collect()
+    index = ann.build(df)
+    rows = ann.search(index, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r["rank"], r.vec_id, r.score) for r in rows] == [(1, 1, 2.0), (2, 2, 0.0)]
-    rows = ann.search(index, books, F.col("vec_id") == 0, metric="l2").orderBy("rank").collect()
+    rows = ann.search(index, F.col("vec_id") == 0, metric="l2").orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in rows] == [(1, -1.0), (2, -2.0)]
     with pytest.raises(ValueError, match="metric"):
-        ann.search(index, books, F.col("vec_id") == 0, metric="cosine")
+        ann.search(index, F.col("vec_id") == 0, metric="cosine")
+
+
+def test_doubles_and_repeated_query_ids(spark):
+    """Scores of doubles are those of doubles; of several vectors with a query's id the least is the query."""
+    a, b = [0.1, 0.2, 0.7], [1e-9, 0.3, 1 / 3]
+    df = spark.createDataFrame([(0, a), (0, [9.0, 9.0, 9.0]), (1, b), (1, b), (2, [0.1, 0.1, 0.1])], "vec_id long, embedding array<double>")
+    rows = ann.search(ann.build(df), F.col("vec_id") == 0).orderBy("rank").collect()
+    score = float((np.array(a) * np.array(b)).sum())
+    assert [(r.vec_id, r.score) for r in rows[:2]] == [(1, score), (1, score)] and len(rows) == 3
+
+
+@pytest.mark.parametrize("batch_rows", [500, 10_000])
+def test_recall_where_the_index_is_needed(spark, batch_rows):
+    """Vectors without any structure, so many that a small part is reranked, whatever the Arrow batches."""
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, batch_rows)
+    try:
+        index = ann.build(df)
+        found = collections.defaultdict(set)
+        for r in ann.search(index, F.col("vec_id") % 100 == 0, least=0).collect():
+            found[r.query_id].add(r.vec_id)
+    finally:
+        spark.conf.set(key, old)
+    hits = 0
+    for q, got in found.items():
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hits += len(got & set(np.argsort(-score)[:20].tolist()))
+    assert len(found) == 200 and index.parts["ip"] < 0.3 and hits >= 0.9 * 20 * 200
 
 
 def test_beam_search_is_no_worse_than_greedy():

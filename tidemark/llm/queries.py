@@ -58,8 +58,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books, index = ann.build(read(spark, sf_dir, "embeddings"))
-    return ann.search(index, books, F.col("vec_id") % 20 == 0)
+    return ann.search(ann.build(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
