@@ -356,9 +356,8 @@ def test_packing(documents, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     rng = random.Random(10)
-    rows = [(i, prose(rng, rng.randrange(0, 900))) for i in range(300)] + [(1000, None), (1001, ""), (1002, "a  b \n c\t d  "), (1003, "<|endoftext|> x"), (1004, prose(rng, 40_000))]
+    rows = [(i, prose(rng, rng.randrange(0, 900))) for i in range(300)] + [(1000, None), (1001, ""), (1002, "a  b \n c\t d  "), (1003, "<|endoftext|> x"), (1004, prose(rng, 40_000)), (1005, "<|endoftext|>"), (1006, "a<|endoftext|><|endoftext|>  \n<|endoftext|>b <|endoftext| > c")]
     out = packing.pack(documents(rows).repartition(7), TOKENIZER).collect()
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
     check_pieces(out, ids)
@@ -368,12 +367,11 @@ def test_packing(documents, odd, empty):
     assert sum(r.start == 0 for r in odd_rows) == 9
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \n b", "a\t \nb", "a 　 b", "x\x1c y", "don't  we'll", "é 😀  1 22", "a   b"])
+@pytest.mark.parametrize("text", ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \n b", "a\t \nb", "a 　 b", "x\x1c y", "don't  we'll", "é 😀  1 22", "a   b", "<|endoftext|>", "a <|endoftext|>b", " <|endoftext|> <|endoftext|>", "<|endoftext|", "x<|ENDOFTEXT|>"])
 def test_encoder_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     assert np.frombuffer(packing.Encoder(TOKENIZER)(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 

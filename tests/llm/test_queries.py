@@ -99,7 +99,6 @@ def test_op7_round_trip(spark, duck, sf_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = dict(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
     rows = queries.op7_packing(spark, sf_dir).collect()
     check_pieces(rows, {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in docs.items()})

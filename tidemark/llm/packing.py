@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +41,27 @@ class Encoder:
     A byte-level BPE file never merges across a space that is followed by a non-space, so a text is cut there
     and the ids of each part are kept in a bounded table. Parts not yet known are encoded with the file's own
     vocabulary as merge ranks. Texts in which a space stands inside a longer run of white space are encoded
-    whole. Files of another kind are left to ``tokenizers`` altogether.
+    whole. Texts that hold an added token of the file, such as <|endoftext|>, and files of another kind are left to
+    ``tokenizers``, called as it comes: an added token spelt out in a text gets its own id.
     """
 
     def __init__(self, path: str, max_parts: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.max_parts, self.parts = max_parts, _Parts(self)
-        self._encode = self._by_ranks(spec) or self._by_tokenizers(path)
-
-    def _by_tokenizers(self, path: str) -> Callable[[str], list[int]]:
+        self.path, self.max_parts, self.parts = path, max_parts, _Parts(self)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        ranks = self._by_ranks(spec)
+        self.cut = ranks is not None
+        self._encode = ranks or self.plain
+
+    @cached_property
+    def _tokenizer(self):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.cut = False
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        return Tokenizer.from_file(self.path)
+
+    def plain(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def _by_ranks(self, spec: dict) -> Callable[[str], list[int]] | None:
         import public_tokenizers
@@ -72,13 +78,14 @@ class Encoder:
         if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
             return None
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
-        self.cut = True
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def direct(self, text: str) -> bytes:
         return np.array(self._encode(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return np.array(self.plain(text), "<u4").tobytes()
         if not self.cut or _AMBIGUOUS_SPACE.search(text):
             return self.direct(text)
         first, *rest = text.split(" ")
