@@ -592,9 +592,58 @@ def test_pages_as_a_table(spark):
 
 def test_the_tree_learns_its_table():
     tree = html_extract.train()
-    for line in html_extract.LABELLED.strip().splitlines():
-        *features, label = map(float, line.split())
-        assert html_extract.decide(tree, tuple(features)) == bool(label), line
+    x, y = html_extract.labelled_blocks()
+    assert len(y) > 200 and all(html_extract.decide(tree, tuple(v)) == bool(label) for v, label in zip(x, y, strict=True))
+
+    def used(node):
+        return {node.feature} | used(node.low) | used(node.high) if node.low else set()
+
+    names = {html_extract.FEATURES[f] for f in used(tree)}
+    assert {"words", "links"} <= names and names & {"words_before", "links_before"} and names & {"words_after", "links_after"}
+
+
+LIST = "<ul><li><a href=x>Smith on the growth of towns</a></li><li><a href=y>Jones and others on rivers</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<form><input type=hidden><nav><a>Home</a></nav><article><h1>Head</h1><p>{PARAGRAPH}</p></article><input><button>Go</button></form>", f"Head\n{PARAGRAPH}"),
+        (f"<form id=page><input type=hidden name=s><h1>Head</h1><p>{PARAGRAPH}</p></form>", f"Head\n{PARAGRAPH}"),
+        (f"<article><p>{PARAGRAPH}</p><form><p>Sign up for our letter</p><input type=email><button>Go</button></form></article>", PARAGRAPH),
+        (f"<article><p>{PARAGRAPH}</p><select><option>One<option>Two</select><label>Mail</label></article>", PARAGRAPH),
+        (f'<div class="content-area has-sidebar"><p>{PARAGRAPH}</p></div>', PARAGRAPH),
+        (f'<div title="the hidden cost"><p>{PARAGRAPH}</p></div><div data-hidden="false" data-class="ad"><p>{PARAGRAPH}</p></div>', f"{PARAGRAPH}\n{PARAGRAPH}"),
+        (f'<svg viewBox="0"/><p>{PARAGRAPH}</p><iframe src=x /><p>{PARAGRAPH}</p>', f"{PARAGRAPH}\n{PARAGRAPH}"),
+        ("<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>\\x</annotation></math> holds for all the days</p></article>", "We know that x=1 holds for all the days"),
+        (f'<section class="form-and-function"><p>{PARAGRAPH}</p></section>', PARAGRAPH),
+        ("<html><body><p>Only three words</p></body></html>", "Only three words"),
+        (f'<div class="story"><p>{PARAGRAPH}</p></div><div><p>{PARAGRAPH} {PARAGRAPH}</p></div>', f"{PARAGRAPH}\n{PARAGRAPH} {PARAGRAPH}"),
+        (f"<article><p>{PARAGRAPH}</p><h2>References</h2>{LIST}</article>", f"{PARAGRAPH}\nReferences\nSmith on the growth of towns\nJones and others on rivers"),
+        (f"<div><a>Home</a> <a>News</a> <a>World news</a> <a>Sport</a> <a>About us</a></div><h1>A headline</h1><p>{PARAGRAPH}</p><p>Short one.</p>", f"A headline\n{PARAGRAPH}\nShort one."),
+        (f'<div class="post"><div class="entry-header"><h1>The head</h1></div><div class="entry-content"><p>{PARAGRAPH}</p></div><div class="entry-footer">Filed under x</div><div id="comments" class="comments-area"><p>{PARAGRAPH}</p></div></div>', f"The head\n{PARAGRAPH}"),
+        (f'<article><p class="byline">By me</p><p>{PARAGRAPH}</p><p class="notice">{PARAGRAPH}</p><p hidden>{PARAGRAPH}</p></article>', PARAGRAPH),
+        (f'<article><p>{PARAGRAPH}</p></article><section><article class="comment"><p>{PARAGRAPH}</p></article></section>', PARAGRAPH),
+    ],
+)
+def test_markup_that_misleads(page, text):
+    assert html_extract.extract(html_extract.train(), page) == text
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div class=content", "div", ""])
+def test_random_pages(around):
+    """Menus of many kinds and lengths, paragraphs, a footer or an advert, with and without an article element."""
+    rng, tree = random.Random(21), html_extract.train()
+    for _ in range(200):
+        links = [f"<a href=x>{prose(rng, rng.randrange(1, 4))}</a>" for _ in range(rng.randrange(2, 12))]
+        name = rng.choice(["nav", "div class=menu", "div", "header"])
+        menu = f"<{name}>" + (" ".join(links) if rng.random() < 0.5 else "<ul><li>" + "<li>".join(links) + "</ul>") + f"</{name.split()[0]}>"
+        paragraphs = [prose(rng, rng.randrange(8, 120)) for _ in range(rng.randrange(2, 9))]
+        body = "<h1>A headline</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs)
+        if around:
+            body = f"<{around}>{body}</{around.split()[0]}>"
+        rest = rng.choice([f"<footer>{prose(rng, 20)}</footer>", f'<div class="footer">{prose(rng, 30)} <a>us</a></div>', f'<div class="ad">{prose(rng, 15)}</div>', menu])
+        assert html_extract.extract(tree, menu + body + rest) == "\n".join(["A headline", *paragraphs])
 
 
 # Helpers
