@@ -1,13 +1,14 @@
 """Compression classifier: zstandard dictionaries of good and of bad texts, compared block by block.
 
 A text is compressed in blocks of ``BLOCK`` bytes with either dictionary, so that the dictionaries keep their
-say to the end of a long text. The normalised size difference, and the compressed size itself, become a
-probability by a logistic calibration fitted on labelled rows that built neither dictionary.
+say to the end of a long text. The difference of the compressed sizes over the text's bytes is the one feature; it becomes
+a probability by a logistic calibration on it and its signed square, fitted on labelled rows that built neither dictionary.
 
 Fitted on at most 2 * ``per_label`` rows of each label, of each at most ``sample_chars`` characters from a
 seeded start. Null and empty texts get the share of label 1. Repeated rows get equal scores; a label given
 twice counts twice. Without labels of both kinds every text gets the share of label 1, or 0.5 without labels.
-Labels are the only input besides the text; doc_id only says which rows may be learned from.
+Labels are the only input besides the text; doc_id only says which rows may be learned from. An empty table gives no rows.
+``score`` ignores other columns of the input; ``keep`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, crc_mod
+from tidemark.llm.common import bounded_sample, crc_mod, first_rows
 
 BLOCK = 1024
 FOLDS = 5
 THRESHOLD = 0.3
-LEVEL = 3
+LEVEL, DICT_BYTES = 5, 1 << 19
 RIDGE, ENOUGH = 1e-2, 300
 
 
@@ -45,11 +46,11 @@ class Scorer:
         self.empty = [len(c.compress(b"")) for c in self.pair]
 
     def features(self, text: str) -> np.ndarray:
-        """A constant, the normalised difference, the compressed share, their squares and product."""
+        """A constant, ten times the normalised difference, and its signed square."""
         data = text.encode()
         good, bad = (sum(len(c.compress(data[i : i + BLOCK])) - e for i in range(0, len(data), BLOCK)) for c, e in zip(self.pair, self.empty, strict=True))
-        diff, share = 10 * (bad - good) / len(data), good / len(data)
-        return np.array([1.0, diff, share, diff * diff, share * share, diff * share])
+        diff = 10 * (bad - good) / len(data)
+        return np.array([1.0, diff, diff * abs(diff)])
 
     def __call__(self, text: str | None) -> float:
         if not text or not self.pair:
@@ -91,16 +92,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, ridge:
     return w
 
 
-def train(rows: list[tuple[str, int]], counts: dict[int, int], dict_bytes: int = 65536) -> Model:
+def train(rows: list[tuple[str, int]], counts: dict[int, int], dict_bytes: int = DICT_BYTES) -> Model:
     """``rows``: texts and labels 0 or 1, in a fixed order; ``counts``: how often each label occurs in all."""
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     sides = [[t for t, y in rows if t and y == label] for label in (1, 0)]
     if min(map(len, sides)) < 4:
-        return Model(b"", b"", np.zeros(6), prior)
+        return Model(b"", b"", np.zeros(3), prior)
     build = [s[: len(s) * 2 // 3] for s in sides]
     good, bad = (_dictionary([t.encode() for t in s], dict_bytes) for s in build)
-    model = Model(good, bad, np.zeros(6), prior)
+    model = Model(good, bad, np.zeros(3), prior)
     scorer = Scorer(model)
     x, y, w = [], [], []
     for s, b, label in zip(sides, build, (1, 0), strict=True):
@@ -108,7 +109,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], dict_bytes: int =
         x += [scorer.features(t) for t in rest]
         y += [label] * len(rest)
         w += [counts[label] / total / len(rest)] * len(rest)
-    # A handful of rows can't settle six weights: below ENOUGH rows of the rarer label the ridge grows as they get fewer.
+    # A handful of rows can't settle the weights: below ENOUGH rows of the rarer label the ridge grows as they get fewer.
     few = min(sum(y), len(y) - sum(y))
     model.weights = fit_logistic(np.array(x), np.array(y, float), np.array(w) * len(y), RIDGE * max(1.0, ENOUGH / few))
     return model
@@ -126,7 +127,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, sample_char
     keys = spark.createDataFrame([(int(r["key"]), int(r["label"]), int(r["draw"])) for r in picked], "doc_id long, label int, draw long")
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.length("text") - sample_chars, F.lit(0)).cast("long") + 1)
     texts = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("draw", "label", "doc_id", F.substring("text", start, F.lit(sample_chars)).alias("text"))
-    rows = sorted((r for r in texts.limit(8 * per_label).toArrow().to_pylist() if r["text"]), key=lambda r: (r["draw"], r["doc_id"], r["label"], r["text"]))
+    # Rows that repeat a doc_id with other texts may exceed the bound; the first by draw and content count.
+    rows = first_rows(texts.where(F.col("text") != ""), 8 * per_label, "draw", "doc_id", "label")
     return train([(r["text"], r["label"]) for r in rows], counts)
 
 
