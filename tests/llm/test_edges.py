@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from brute import brute_sets, brute_similarity, check_pieces
 
 from tidemark.llm import ann, compression_quality, html_extract, language_id, mixing, near_dedup, packing, quality_rules, toxicity, warc
 from tidemark.llm.common import bounded_sample, slices
+from tidemark.llm.text import mix
 
 TOKENIZER = __import__("public_tokenizers").path("byte_bpe_50k.json")
 WORDS = "the of and to in is that for it was with as his on be at by had not are but from or have an they which one you were".split()
@@ -60,6 +62,45 @@ def test_toxicity(spark, documents, odd, empty):
     assert {r.severity for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_toxicity_scores_by_definition():
+    """Features, probabilities and grades of a fitted model computed one by one."""
+    rng = random.Random(22)
+    samples = [(prose(rng, 40) + (" vile scoundrel" * (1 + i % 5) if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.train(samples)
+    texts = ["", "Vile!", "a vile-scoundrel VILE\tvileness scoundrels", prose(rng, 30), "é vile ünï"]
+
+    def bucket(data, n=0):
+        h, step = 0, 0x9E3779B97F4A7C15 | 1
+        for i, b in enumerate(data):
+            h = (h + (b + 1) * pow(step, i, 1 << 64)) % (1 << 64)
+        h = (int(mix(np.array([h], np.uint64))[0]) + (n * 0x9E3779B97F4A7C15 % 2**64 if n else 0)) % (1 << 64)
+        return h >> 64 - toxicity.BITS
+
+    expected, grades, first = toxicity.severity(model, pa.array(texts))
+    for text, e, g, p in zip(texts, expected, grades, first, strict=True):
+        seen = collections.Counter()
+        for word in re.split(r"[\x00-/:-@\[-`{-\x7f]+", text.lower()):
+            data = word.encode()
+            if data:
+                seen.update([bucket(data), *(bucket(data[:n], n) for n in (4, 5, 6, 7) if len(data) >= n)])
+        kept = {b: i for i, b in enumerate(model.buckets.tolist())}
+        hits = {kept[b]: n for b, n in seen.items() if b in kept}
+        above = [1 / (1 + math.exp(-(sum(model.weights[i] * math.log1p(n) for i, n in hits.items()) - t))) if hits else 0 for t in model.thresholds]
+        assert (e, p) == pytest.approx((sum(above), above[0]), abs=1e-9) and g == sum(x >= model.cut for x in above)
+    assert grades.tolist()[0] == 0 and grades[2] > 0 and grades[3] == 0
+
+
+def test_given_grades_are_used(spark, documents):
+    """Labels with more than two values: the order of the grades is learned."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng, 30) + " vile" * (3 * (i % 4))) for i in range(400)]
+    marks = spark.createDataFrame([(i, 10 * (i % 4)) for i in range(400)], "doc_id long, grade int")
+    model = toxicity.learn(documents(rows), marks, grade="grade")
+    assert len(model.thresholds) == 3
+    expected = toxicity.severity(model, pa.array([prose(rng, 30) + " vile" * n for n in (0, 3, 6, 9)]))[0]
+    assert np.all(np.diff(expected) > 0.3)
+
+
 def test_ordinal_fit_recovers_the_order():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 4, 2000)
@@ -137,6 +178,27 @@ def test_language(documents, odd, empty):
     assert language_id.keep(odd, model).columns == odd.columns
 
 
+def test_language_scores_by_definition():
+    """Subwords counted one by one, and the softmax of their mean."""
+    rng = random.Random(24)
+    model = language_id.train([(prose(rng, 20) if i % 2 else prose(rng, 20)[::-1], "ab"[i % 2]) for i in range(200)])
+    for text in ("a", "Ab c", "naïve – “quoted” … text, 12 a_b", "日本語。テキスト", "हिन्दी में", "x" * 50):
+        letters = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+        data = f" {letters} ".encode()
+        counts = collections.Counter()
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                g = [0 if b == 32 else b for b in data[i : i + n]]
+                if (g[0] or g[1]) if n == 2 else all(g[1:-1]):
+                    code = sum(b * 257 ** (n - 1 - j) for j, b in enumerate(g)) + n
+                    counts[(code * 2654435761 % (1 << 32)) >> 32 - language_id.BUCKET_BITS] += 1
+        assert counts == {i: n for i, n in enumerate(language_id.subwords(text).tolist()) if n}
+        logits = (sum(n * model.table[i] for i, n in counts.items()) / sum(counts.values()) + model.bias) / model.temperature
+        p = np.exp(logits) / np.exp(logits).sum()
+        got = language_id.predict(model, text)
+        assert got[0] == model.languages[int(p.argmax())] and got[1] == pytest.approx(p.max()) and got[2] == (p.max() >= model.threshold)
+
+
 def test_subwords_of_long_texts_do_not_depend_on_pieces():
     text = "straße cafe " * 120_000
     whole, part = language_id.subwords(text), language_id.subwords("straße cafe " * 1200)
@@ -166,6 +228,23 @@ def test_compression(spark, documents, odd, empty):
     assert compression_quality.keep(odd, model).columns == odd.columns
 
 
+def test_compression_scores_by_definition():
+    """Sizes of blocks compressed anew with each dictionary, one by one."""
+    import zstandard
+
+    rng = random.Random(25)
+    model = compression_quality.train([(prose(rng, 60), 1) if i % 2 else ("$$ buy " * 40 + prose(rng, 5), 0) for i in range(120)], {0: 60, 1: 60})
+    scorer = compression_quality.Scorer(model)
+    for text in ("a", prose(rng, 400), "é" * 3000, "$$ buy " * 300):
+        data, sizes = text.encode(), []
+        for d in (model.good, model.bad):
+            make = lambda x, d=d: len(zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False).compress(x))
+            sizes.append(sum(make(data[i : i + 1024]) - make(b"") for i in range(0, len(data), 1024)))
+        x = 10 * (sizes[1] - sizes[0]) / len(data)
+        assert scorer(text) == pytest.approx(1 / (1 + math.exp(-(model.weights @ [1, x, x * abs(x)]))))
+    assert scorer("$$ buy " * 300) < 0.3 < scorer(prose(rng, 400)) and scorer("") == scorer(None) == 0.5
+
+
 # WARC
 
 

@@ -10,7 +10,7 @@ import pytest
 from brute import brute_sets, brute_similarity, check_pieces
 
 import corpus_pipeline
-from tidemark.llm import queries
+from tidemark.llm import queries, toxicity
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -32,6 +32,20 @@ def test_op1_finds_the_labelled(spark, duck):
     assert sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.01
 
 
+def test_op1_held_out():
+    """Learned from four labels in five, judged on the fifth."""
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    rows = con.execute("SELECT doc_id, text, toxic FROM '/root/testdata/sf0.1/labels.parquet' JOIN '/root/testdata/sf0.1/documents.parquet' USING (doc_id) WHERE text IS NOT NULL ORDER BY md5(doc_id::VARCHAR)").fetchall()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    model = toxicity.train([(t[:16384], y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5])
+    grade = toxicity.severity(model, pa.array([t for _, t, _ in held]))[1]
+    toxic = np.array([y for *_, y in held]) == 1
+    assert (grade[toxic] > 0).mean() > 0.9 and (grade[~toxic] > 0).mean() < 0.02
+
+
 def test_op3_held_out_accuracy(spark, duck, sf_dir):
     lang = dict(duck.execute("SELECT doc_id, lang FROM documents").fetchall())
     rows = queries.op3_language_id(spark, sf_dir).collect()

@@ -1,19 +1,21 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-Subwords are runs of two to four bytes of the lower-cased text that hold no space inside; anything but
-letters counts as a space. Embeddings and softmax are trained together by stochastic gradient descent. A
+Subwords are runs of two to four bytes of the lower-cased text that hold no space inside, a space at either end
+marking the end of a word; anything but letters and their marks counts as a space. Embeddings and softmax are trained together by stochastic gradient descent. A
 temperature, fitted on rows kept from training, turns the softmax into probabilities, and the threshold below
 which a prediction is rejected is a low quantile of those of right predictions.
 
 Fitted on at most 2 * ``per_label`` rows of each language, of each at most ``sample_chars`` characters from a
 seeded start. A text that is null or has no letter is ``und`` with score 0 and is not accepted; so is every
 text if there is nothing to learn from. Repeated rows get equal results. lang, source and doc_id are never
-inputs of a prediction.
+inputs of a prediction. Of more languages than ``bounded_sample`` takes, the most frequent are learned. An empty table gives
+no rows. ``identify`` ignores other columns of the input; ``keep`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,17 @@ _SPACED[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _SPACED[128:] = np.arange(128, 256)
 
 
+class _Blank(dict):
+    """For ``str.translate``: letters and marks as they are, all else a space."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if unicodedata.category(chr(code))[0] in "LM" else 32
+        return self[code]
+
+
+_BLANK = _Blank()
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -46,16 +59,18 @@ class Model:
 def subwords(text: str) -> np.ndarray:
     """How often each bucket occurs; the mean over all is taken later."""
     counts = np.zeros((1 << BUCKET_BITS) + 1, np.int64)
-    data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+    text = text.lower()
+    data = np.frombuffer(f" {text if text.isascii() else text.translate(_BLANK)} ".encode(), np.uint8)
     for at in range(0, len(data), 1 << 20):  # long texts in pieces that overlap by three bytes
         codes = _SPACED[data[at : at + (1 << 20) + 3]]
         c = codes.astype(np.uint32)
-        gram, inner = c, None
+        gram, inner = c, np.zeros(max(0, len(c) - 1), bool)
         for n in (2, 3, 4):
             gram = gram[:-1] * np.uint32(257) + c[n - 1 :]
-            inner = np.zeros(len(gram), bool) if n == 2 else (inner[:-1] | (codes[n - 2 : -1] == 0))
+            if n > 2:
+                inner = inner[:-1] | (codes[n - 2 : -1] == 0)
             h = (((gram + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
-            h[inner | ((gram & np.uint32(0xFF)) == 0) & (codes[: len(gram)] == 0)] = 1 << BUCKET_BITS
+            h[inner if n > 2 else (codes[:-1] | codes[1:]) == 0] = 1 << BUCKET_BITS
             last = at + (1 << 20) < len(data)
             counts += np.bincount(h[: 1 << 20] if last else h, minlength=len(counts))
     return counts[:-1]

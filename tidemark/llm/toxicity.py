@@ -1,13 +1,19 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Features are hashed lower-cased words and their first four to seven bytes, of which those that tell toxic
-from other labelled texts are kept; a feature's value is log(1 + occurrences). Grades are 0 for label 0, and
-1 to ``GRADES`` for label 1 by the sum of its feature values (equal shares of the labelled texts). One weight vector serves all ordered thresholds: P(grade > k) = sigmoid(w x - theta_k). The expected
-severity is the sum of these probabilities.
+from other labelled texts are kept; a feature's value is log(1 + occurrences). One weight vector serves all ordered
+thresholds: P(grade > k) = sigmoid(w x - theta_k). The expected severity is the sum of these probabilities.
+
+Labels are grades from 0 (not toxic) on. Where there are only 0 and 1, the toxic texts are graded 1 to ``GRADES`` by
+weak labels: the sample is halved, the words that tell toxic from other texts are found on one half, and the texts of
+the other half are graded by how many different ones they hold, in equal shares. So no text is graded by words that were
+chosen by its own label, nor by the values that the regression sees; but such a grade says how much toxic wording there
+is, not how bad people find it. Labels with more than two values are used as they are, renumbered without gaps.
 
 Fitted on at most 2 * ``per_label`` rows of each label, of each at most ``sample_chars`` characters from a
 seeded start. Null and empty texts have severity 0 and are not toxic; so have all without labels of both
-kinds. Repeated rows get equal results. Whole texts are scored.
+kinds, and texts without any kept feature. Repeated rows get equal results. Whole texts are scored. An empty table gives
+no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, slices
+from tidemark.llm.common import bounded_sample, first_rows, slices
 from tidemark.llm.text import Words, shingle_keys
 
 BITS = 20
@@ -34,6 +40,7 @@ class Model:
     buckets: np.ndarray  # the kept features' buckets, ascending
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,64 +101,109 @@ def distinct(samples: list[tuple[str, int]], k: int = 5, held: int = 8) -> list[
     return out
 
 
-def train(samples: list[tuple[str, int]], most: int = 4096, least_z: float = 3.0, least_lift: float = 4.0) -> Model | None:
-    """``samples``: texts with label 0 or 1, in a fixed order."""
-    samples = distinct(samples)
-    label = np.array([y for _, y in samples], bool)
-    if not len(label) or label.all() or not label.any():
-        return None
-    rows, buckets, _ = features(pa.array([t for t, _ in samples], pa.string()))
+def signs(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray, least_z: float, least_lift: float, most: int) -> np.ndarray:
+    """The buckets, ascending, that are more frequent among rows of ``label``; each row counts once."""
     pair = np.unique(rows * (1 << BITS) + buckets)
     seen, bucket = label[pair >> BITS], pair & ((1 << BITS) - 1)
     toxic, other = np.bincount(bucket[seen], minlength=1 << BITS), np.bincount(bucket[~seen], minlength=1 << BITS)
-    a, b = label.sum(), (~label).sum()
+    a, b = max(1, label[np.unique(rows)].sum()), max(1, (~label[np.unique(rows)]).sum())
     share = (toxic + other + 1) / (a + b + 2)
     z = (toxic / a - other / b) / np.sqrt(share * (1 - share) * (1 / a + 1 / b))
     lift = (toxic + 0.5) / a >= least_lift * (other + 0.5) / b
     kept = np.flatnonzero((z >= least_z) & lift & (toxic >= 3))
-    if not len(kept):
+    return np.sort(kept[np.argsort(-z[kept], kind="stable")[:most]])
+
+
+def weak_grades(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray, **limits: float) -> np.ndarray:
+    """Grades of 0/1 labels: 0, or 1 to ``GRADES`` by the number of different signs found on the other half of the rows."""
+    half = np.arange(len(label)) % 2 == 1
+    amount = np.zeros(len(label))
+    for side in (half, ~half):
+        there = ~side[rows]
+        found = signs(rows[there], buckets[there], label, **limits)
+        mine = side[rows] & np.isin(buckets, found)
+        amount += np.bincount(np.unique(rows[mine] * (1 << BITS) + buckets[mine]) >> BITS, minlength=len(label))
+    return np.where(label, 1 + np.searchsorted(np.quantile(amount[label], np.arange(1, GRADES) / GRADES), amount), 0)
+
+
+def _fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray, use: np.ndarray, limits: dict) -> Model | None:
+    """A model of the texts that are in ``use``."""
+    rows, buckets = rows[use[rows]], buckets[use[rows]]
+    kept = signs(rows, buckets, grades > 0, **limits)
+    grades = np.unique(grades[use], return_inverse=True)[1]
+    if not len(kept) or not grades.any():
         return None
-    kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:most]])
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
     hit = number[buckets] >= 0
-    rows, ids, values = _occurrences(rows[hit], number[buckets[hit]], len(kept))
-    amount = np.bincount(rows, weights=values, minlength=len(label))
-    grades = np.where(label, 1 + np.searchsorted(np.quantile(amount[label], np.arange(1, GRADES) / GRADES), amount), 0)
-    for low, g in enumerate(np.unique(grades)):  # tied amounts may leave a grade out
-        grades[grades == g] = low
-    weights, thresholds = fit_ordinal(rows, ids, values, grades, len(kept))
-    return Model(kept, weights, thresholds)
-
-
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, sample_chars: int = 16384, seed: int = 1) -> Model | None:
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
-    picked = bounded_sample(usable, "doc_id", "toxic", per_label, seed)
+    place = np.cumsum(use) - 1
+    return Model(kept, *fit_ordinal(*_occurrences(place[rows[hit]], number[buckets[hit]], len(kept)), grades, len(kept)))
+
+
+def _above(model: Model, rows: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
+    """P(grade > k) of each of ``n`` texts."""
+    number = np.full(1 << BITS, -1, np.int32)
+    number[model.buckets] = np.arange(len(model.buckets))
+    ids = number[buckets]
+    rows, ids, values = _occurrences(rows[ids >= 0], ids[ids >= 0].astype(np.int64), len(model.buckets))
+    score = np.bincount(rows, weights=model.weights[ids] * values, minlength=n)
+    above = 1 / (1 + np.exp(-np.clip(score[:, None] - model.thresholds, -30, 30)))
+    above[np.bincount(rows, minlength=n) == 0] = 0  # no feature, no sign of toxicity
+    return above
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """Where the shares of toxic texts at or above and of others below are best together, the middle of such
+    cuts, within 0.2 and 0.8."""
+    values = np.unique(np.concatenate(([0.0, 1.0], p)))
+    cuts = (values[1:] + values[:-1]) / 2
+    good = np.searchsorted(np.sort(p[~toxic]), cuts) / max(1, (~toxic).sum()) - np.searchsorted(np.sort(p[toxic]), cuts) / max(1, toxic.sum())
+    best = cuts[good >= good.max() - 1e-12]
+    return float(np.clip((best[0] + best[-1]) / 2, 0.2, 0.8))
+
+
+def train(samples: list[tuple[str, int]], most: int = 4096, least_z: float = 3.0, least_lift: float = 4.0) -> Model | None:
+    """``samples``: texts with grades from 0, in a fixed order."""
+    samples = distinct(samples)
+    grades = np.array([y for _, y in samples], int)
+    label = grades > 0
+    if not len(label) or label.all() or not label.any():
+        return None
+    limits = {"least_z": least_z, "least_lift": least_lift, "most": most}
+    rows, buckets, n_words = features(pa.array([t for t, _ in samples], pa.string()))
+    if grades.max() == 1:  # words come first among the features
+        grades = weak_grades(rows[: n_words.sum()], buckets[: n_words.sum()], label, **limits)
+    half = np.arange(len(label)) % 2 == 1
+    model, sides = _fit(rows, buckets, grades, np.ones(len(label), bool), limits), [_fit(rows, buckets, grades, x, limits) for x in (half, ~half)]
+    if model and all(sides):
+        first, second = (_above(m, rows, buckets, len(label))[:, 0] for m in sides)
+        model.cut = best_cut(np.where(half, second, first), label)
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_label: int = 2000, sample_chars: int = 16384, seed: int = 1) -> Model | None:
+    """Fit on ``labels`` (doc_id and the column ``grade``: integers from 0)."""
+    usable = labels.select("doc_id", F.col(grade).cast("int").alias("grade")).where(F.col("grade") >= 0)
+    picked = bounded_sample(usable, "doc_id", "grade", per_label, seed)
     if not picked:
         return None
-    # At most 4 * per_label rows, so the broadcast is bounded.
+    # At most 2 * per_label rows a label, so the broadcast is bounded.
     keys = docs.sparkSession.createDataFrame([(int(r["key"]), int(r["label"]), int(r["draw"])) for r in picked], "doc_id long, label int, draw long")
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.length("text") - sample_chars, F.lit(0)).cast("long") + 1)
     texts = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("draw", "label", "doc_id", F.substring("text", start, F.lit(sample_chars)).alias("text"))
-    rows = sorted((r for r in texts.limit(8 * per_label).toArrow().to_pylist() if r["text"]), key=lambda r: (r["draw"], r["doc_id"], r["label"], r["text"]))
+    # Rows that repeat a doc_id with other texts may exceed the bound; the first by draw and content count.
+    rows = first_rows(texts.where(F.col("text") != ""), 2 * max(len(picked), 1), "draw", "doc_id", "label")
     return train([(r["text"], r["label"]) for r in rows])
 
 
 def severity(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected severity, the likeliest grade and P(grade > 0) of each text."""
+    """Expected severity, grade and P(grade > 0) of each text."""
     n = len(texts)
     if model is None:
         return np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
-    number = np.full(1 << BITS, -1, np.int32)
-    number[model.buckets] = np.arange(len(model.buckets))
     rows, buckets, _ = features(texts)
-    ids = number[buckets]
-    rows, ids, values = _occurrences(rows[ids >= 0], ids[ids >= 0].astype(np.int64), len(model.buckets))
-    score = np.bincount(rows, weights=model.weights[ids] * values, minlength=n)
-    above = 1 / (1 + np.exp(-np.clip(score[:, None] - model.thresholds, -30, 30)))
-    above[np.bincount(rows, minlength=n) == 0] = 0  # no feature, no sign of toxicity
-    padded = np.concatenate((np.ones((n, 1)), above, np.zeros((n, 1))), axis=1)
-    return above.sum(1), (padded[:, :-1] - padded[:, 1:]).argmax(1), above[:, 0]
+    above = _above(model, rows, buckets, n)
+    return above.sum(1), (above >= model.cut).sum(1), above[:, 0]
 
 
 def _score(model: Model | None) -> Callable:
@@ -159,11 +211,11 @@ def _score(model: Model | None) -> Callable:
         for batch in batches:
             for piece in slices(batch, "text"):
                 expected, grade, toxic = severity(model, piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(expected), pa.array(grade.astype(np.int32)), pa.array(toxic), pa.array(toxic >= 0.5)], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(expected), pa.array(grade.astype(np.int32)), pa.array(toxic), pa.array(grade > 0)], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, expected severity, grade, p_toxic and toxic for every row."""
+    """doc_id, expected severity, grade, p_toxic and toxic (a grade above 0) for every row."""
     return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
