@@ -525,6 +525,12 @@ def test_mixing_rows(spark, documents, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix(odd, (1, 1), {}, 1).count() == 9
     twice = mixing.mix(docs.drop("draw").withColumn("draw", F.lit("clash")), (2, 1), {}, 2)
     assert twice.count() == 2 * docs.count() and set(twice.columns) >= {"doc_id", "epoch"}
+    clash = docs.select("*", *[F.lit("KEEP").alias(c) for c in ("_lang", "_domain", "_cut", "domain", "Epoch", "budget")])
+    out = mixing.mix(clash, (1, 2), {}, 1, 3)
+    assert out.columns == [*(c for c in clash.columns if c != "Epoch"), "mix_domain", "n_tokens", "epoch", "draw"]
+    assert {(r._lang, r._domain, r._cut, r.domain, r.budget) for r in out.collect()} == {("KEEP",) * 5} and out.count() == len(got)
+    held = mixing.keep(clash, (1, 2), {}, 3)
+    assert held.columns == clash.columns and {r.Epoch for r in held.collect()} == {"KEEP"}
     with pytest.raises(ValueError, match="weights"):
         mixing.mix(docs, weights={"lang": {"en": 0}})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,13 +11,33 @@ from pyspark.sql import functions as F
 
 from tidemark.shared import discard, folder, written
 
-__all__ = ["bounded_sample", "crc_mod", "discard", "first_rows", "folder", "read", "slices", "written"]
+__all__ = ["bounded_sample", "crc_mod", "discard", "filter_by_text", "first_rows", "folder", "numbered", "read", "slices", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(df: DataFrame) -> tuple[list[Column], list[Column]]:
+    """The columns of ``df`` under names that no added column has, and these under their own names again."""
+    names = [f"_{i}" for i in range(len(df.columns))]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return [F.col(c).alias(n) for c, n in zip(quoted, names, strict=True)], [F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)]
+
+
+def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text the function that ``judge`` makes, once a task, says yes to."""
+    columns, back = numbered(docs)
+    rows, at = docs.select(*columns), [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = judge()
+        for batch in batches:
+            yield batch.filter(pa.array([good(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).select(*back)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's decimal text modulo n; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

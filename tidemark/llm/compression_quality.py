@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, crc_mod, first_rows
+from tidemark.llm.common import bounded_sample, crc_mod, filter_by_text, first_rows
 
 BLOCK = 1024
 FOLDS = 5
@@ -149,9 +149,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def judge() -> Callable[[str | None], bool]:
         scorer = Scorer(model)
-        for batch in batches:
-            yield batch.filter(pa.array([scorer(t.as_py()) >= threshold for t in batch.column("text")], pa.bool_()))
+        return lambda text: scorer(text) >= threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_by_text(docs, judge)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, crc_mod
+from tidemark.llm.common import bounded_sample, crc_mod, filter_by_text
 
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -167,9 +167,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with their columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([predict(model, t.as_py())[2] for t in batch.column("text")], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filter_by_text(docs, lambda: lambda text: predict(model, text)[2])

@@ -14,8 +14,8 @@ A document belongs to the prefix if the running sum with it stays within the lea
 
 Null and unknown domains, languages and sources are the child ``(none)``; unlisted children have weight 1.
 Null texts hold no tokens. Rows that agree in doc_id (or have none) and in tokens are taken or left together,
-repeated rows among them. An empty table gives no rows. Columns of ``docs`` named like a column that is added
-are replaced.
+repeated rows among them. An empty table gives no rows. ``mix`` replaces columns of ``docs`` named like a column that it
+adds, in any case of letters; ``keep`` gives the columns of ``docs`` as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import discard, numbered, written
 
 NONE = "(none)"
 LEVELS = ("domain", "lang", "source")
@@ -105,27 +105,42 @@ def cuts(narrow: DataFrame, fraction: tuple[int, int], weights: dict[str, dict[s
     edge = edge.withColumn("sum", F.col("begin") + running).where(F.col("sum") <= F.col("room"))
     edge = edge.groupBy(*leaf).agg(F.max(F.struct("draw", "tokens")).alias("cut"))
     out = plan.join(last, leaf, "left").join(edge, leaf, "left")
-    return written(out.select(*leaf, "epochs", F.coalesce("cut_range", F.lit(BUCKETS)).alias("cut_range"), "cut"), "mix-cuts")
+    out = written(out.select(*leaf, "epochs", F.coalesce("cut_range", F.lit(BUCKETS)).alias("cut_range"), "cut"), "mix-cuts")
+    discard(plan, last, narrow)
+    return out
 
 
-def mix(docs: DataFrame, fraction: tuple[int, int] = (3, 4), weights: dict[str, dict[str, int]] | None = None, max_epochs: int = 1, seed: int = 17) -> DataFrame:
-    """The rows of the mixture: all columns of ``docs`` with mix_domain, n_tokens, epoch (from 0) and draw.
+ADDED = ("mix_domain", "n_tokens", "epoch", "draw")
 
-    A document stands once for each epoch in which its leaf's prefix holds it.
-    """
+
+def _mixture(docs: DataFrame, fraction: tuple[int, int], weights: dict[str, dict[str, int]] | None, max_epochs: int, seed: int) -> tuple[DataFrame, list[Column]]:
+    """The rows of the mixture with the added columns, and the columns of ``docs``, which it holds under other names."""
     weights = WEIGHTS if weights is None else weights
     if any(w < 1 for level in weights.values() for w in level.values()):
         raise ValueError("weights are integers from 1")
-    leaf = {"domain": domain_of(F.col("source")), "lang": F.coalesce(F.col("lang"), F.lit(NONE)), "source": F.coalesce(F.col("source"), F.lit(NONE))}
+    leaf = [c.alias(k) for k, c in zip(LEVELS, (domain_of(F.col("source")), F.coalesce(F.col("lang"), F.lit(NONE)), F.coalesce(F.col("source"), F.lit(NONE))), strict=True)]
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    narrow = written(docs.select(*[c.alias(k) for k, c in leaf.items()], "doc_id", tokens.alias("tokens")), "mix-tokens")
-    cut = cuts(narrow, fraction, weights, max_epochs, seed).select(*[F.col(x).alias(f"_{x}") for x in LEVELS], "epochs", "cut_range", "cut")
-    cut = cut.select(*[f"_{x}" for x in LEVELS], F.struct("epochs", "cut_range", "cut").alias("_cut"))
-    rows = docs.drop("mix_domain", "n_tokens", "epoch", "draw").withColumns({f"_{k}": c for k, c in leaf.items()}).join(cut, [f"_{x}" for x in LEVELS])
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.col("_cut.epochs"), F.lit(max_epochs - 1)))))
-    rows = rows.withColumn("draw", _draw(seed, F.col("epoch"))).withColumn("n_tokens", tokens)
-    at, end = F.struct("draw", F.col("n_tokens").alias("tokens")), F.col("_cut.cut")
-    below = (_range_of(F.col("draw")) < F.col("_cut.cut_range")) | F.coalesce((_range_of(F.col("draw")) == F.col("_cut.cut_range")) & (at <= end), F.lit(False))
-    rows = rows.where((F.col("epoch") < F.col("_cut.epochs")) | below)
-    kept = [c for c in docs.columns if c not in ("mix_domain", "n_tokens", "epoch", "draw")]
-    return rows.select(*kept, F.col("_domain").alias("mix_domain"), "n_tokens", "epoch", "draw")
+    narrow = written(docs.select(*leaf, "doc_id", tokens.alias("tokens")), "mix-tokens")
+    cut = cuts(narrow, fraction, weights, max_epochs, seed)
+    columns, back = numbered(docs)
+    rows = docs.select(*columns, *leaf, "doc_id", tokens.alias("n_tokens")).join(cut, list(LEVELS))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.col("epochs"), F.lit(max_epochs - 1)))))
+    rows = rows.withColumn("draw", _draw(seed, F.col("epoch")))
+    at, here = F.struct("draw", F.col("n_tokens").alias("tokens")), _range_of(F.col("draw"))
+    below = (here < F.col("cut_range")) | F.coalesce((here == F.col("cut_range")) & (at <= F.col("cut")), F.lit(False))
+    return rows.where((F.col("epoch") < F.col("epochs")) | below).withColumnRenamed("domain", "mix_domain"), back
+
+
+def mix(docs: DataFrame, fraction: tuple[int, int] = (3, 4), weights: dict[str, dict[str, int]] | None = None, max_epochs: int = 1, seed: int = 17) -> DataFrame:
+    """The rows of the mixture: all columns of ``docs`` with mix_domain, n_tokens, epoch (from 0) and draw.
+
+    A document stands once for each epoch in which its leaf's prefix holds it.
+    """
+    rows, columns = _mixture(docs, fraction, weights, max_epochs, seed)
+    return rows.select(*[c for c, name in zip(columns, docs.columns, strict=True) if name.lower() not in ADDED], *ADDED)
+
+
+def keep(docs: DataFrame, fraction: tuple[int, int] = (3, 4), weights: dict[str, dict[str, int]] | None = None, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that a mixture of one epoch holds, with their columns."""
+    rows, columns = _mixture(docs, fraction, weights, 1, seed)
+    return rows.select(*columns)

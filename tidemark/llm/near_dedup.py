@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, slices, written
+from tidemark.llm.common import discard, numbered, slices, written
 from tidemark.llm.text import Words, mix, shingle_keys, unique_counts
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -461,8 +461,9 @@ def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     none = F.lit(np.iinfo(np.int64).min)
     times = wordy.groupBy("node", F.coalesce("doc_id", none).alias("id")).agg(F.count("*").alias("times"))
     reps = known.where(F.col("node") == F.col("class_node")).select("node", F.coalesce("class_id", none).alias("id")).join(times, ["node", "id"])
-    rows = docs.select(F.struct("*").alias("row"), node_of("text").alias("node"), F.coalesce("doc_id", none).alias("id")).join(reps, ["node", "id"])
-    once = rows.where("times = 1").select("row.*")
-    again = rows.where("times > 1").dropDuplicates(["node", "id"]).select("row.*")
+    columns, back = numbered(docs)
+    rows = docs.select(*columns, node_of("text").alias("node"), F.coalesce("doc_id", none).alias("id")).join(reps, ["node", "id"])
+    once = rows.where("times = 1").select(*back)
+    again = rows.where("times > 1").dropDuplicates(["node", "id"]).select(*back)
     blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(WORD))
     return reduce(DataFrame.unionByName, (once, again, blank))

@@ -5,8 +5,8 @@ bits against a policy's mask, so a new policy version needs no second look at th
 aggregates the bits alone: how many documents each rule fails, fails alone, and would give back if dropped.
 
 Null and empty texts have zero measurements and fail ``few_words``. Repeated rows get a ledger row each; null
-doc_ids stay null; an empty table gives an empty ledger. Only doc_id and text are read. Words are compared
-by 64-bit hashes.
+doc_ids stay null; an empty table gives an empty ledger, and no ablations. Only doc_id and text are read. Words are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations

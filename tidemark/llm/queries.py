@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, compression_quality, html_extract, language_id, mixing, near_dedup, packing, quality_rules, toxicity, warc
-from tidemark.llm.common import crc_mod, read
+from tidemark.llm.common import crc_mod, read, written
 
 
 def _held_out(folds: int, fold: int):
@@ -26,6 +26,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strict policy rejects, alone and at all, from the stored ledger of op2_quality_rules."""
+    rows = written(quality_rules.ledger(read(spark, sf_dir, "documents")).select("doc_id", "failed"), "quality-ledger")
+    return quality_rules.ablations(rows, quality_rules.POLICIES["strict"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rows = language_id.identify(docs, language_id.learn(docs))
@@ -76,6 +82,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_html_extraction": op10_html_extraction,
+    "quality_rule_ablations": quality_rule_ablations,
 }
 
 _OP2 = r"""
@@ -133,7 +140,14 @@ SELECT {columns} FROM r WHERE epoch < epochs OR running <= budget - epochs * tok
 """
 
 
+_ABLATIONS = f"""
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_only,
+  count(*) FILTER (failed = 0) AS n_kept, count(*) FILTER (failed & ~bit = 0) AS n_kept_without
+FROM ({_OP2}) CROSS JOIN (VALUES {", ".join(f"('{r}', {1 << i}::BIGINT)" for i, r in enumerate(quality_rules.RULES))}) rules(rule, bit) GROUP BY rule
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2,
+    "quality_rule_ablations": _ABLATIONS,
     "op8_source_mixing": mixing_sql("documents", 1, 1, 2, 17, "doc_id, domain AS mix_domain, lang, source, n_tokens, epoch::INTEGER AS epoch"),
 }
