@@ -1,7 +1,10 @@
 """From documents to packed sequences: quality, language, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
-the columns of documents. ``run`` writes each stage's result to the shared folder before the next one starts.
+the columns of documents, whatever further columns it has. ``run`` writes each stage's result to the shared folder before
+the next one starts. Null and empty texts get the quality of the average document and have no language, so they go in the
+second stage. Repeated rows, and null doc_ids, are judged one by one up to near duplicates, of which one row stays. An
+empty table gives no pieces; without labels every document passes the first stage.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three quarters of the tokens, by the target weights, no document twice."""
-    return mixing.mix(docs, fraction=(3, 4), max_epochs=1).select(*docs.columns)
+    return mixing.keep(docs, fraction=(3, 4))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
