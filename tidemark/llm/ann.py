@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, written
 
 CODEBOOKS, ENTRIES = 8, 256
 QUERY_BLOCK = 8192
@@ -175,7 +175,7 @@ def build(vectors: DataFrame, sample_rows: int = 8192, beam: int = 4, seed: int
             norm = np.sqrt((decode(codes, books).astype(np.float64) ** 2).sum(1)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), batch.column("embedding")], names=["vec_id", "codes", "norm", "embedding"])
 
-    table = written(rows.mapInArrow(run, f"vec_id long, codes binary, norm double, embedding {kind}"), "ann-index")
+    table = written(rows.mapInArrow(lean(run), f"vec_id long, codes binary, norm double, embedding {kind}"), "ann-index")
     return Index(books, {m: part_needed(x[held], books, beam, m) for m in METRICS}, table)
 
 
@@ -245,7 +245,7 @@ def search(index: Index, is_query: Column, k: int = 20, part: float | None = Non
     out = None
     for block in range(blocks):
         held = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow().sort_by("vec_id")
-        found = dealt.mapInArrow(_search(held.column("vec_id").to_numpy(), _matrix(held.column("embedding").combine_chunks()), index.books, k, part, least, metric), "query_id long, vec_id long, score double")
+        found = dealt.mapInArrow(lean(_search(held.column("vec_id").to_numpy(), _matrix(held.column("embedding").combine_chunks()), index.books, k, part, least, metric)), "query_id long, vec_id long, score double")
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         if blocks > 1:  # one block at a time: its tables are the only ones held
             found = written(found, "ann-block")

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shared import discard, folder, written
+from tidemark.shared import discard, folder
+from tidemark.shared import written as written_at_once
 
-__all__ = ["bounded_sample", "crc_mod", "discard", "filter_by_text", "first_rows", "folder", "numbered", "read", "slices", "written"]
+__all__ = ["bounded_sample", "crc_mod", "discard", "filter_by_text", "first_rows", "folder", "lean", "numbered", "read", "slices", "small_batches", "written"]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back."""
+    with small_batches(df.sparkSession):
+        return written_at_once(df, name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +34,38 @@ def numbered(df: DataFrame) -> tuple[list[Column], list[Column]]:
     return [F.col(c).alias(n) for c, n in zip(quoted, names, strict=True)], [F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)]
 
 
+ArrowFunction = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: ArrowFunction) -> ArrowFunction:
+    """``run``, which at its end gives free memory back to the system: a worker lives on and serves other operators."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> Iterator[None]:
+    """Actions in this context hand Python batches of at most ``rows`` rows and about ``size`` bytes, as the executor
+    holds several copies of a batch outside its heap."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    old = {key: spark.conf.get(key, None) for key in limits}
+    try:
+        for key, most in limits.items():
+            if not old[key] or not old[key].isdigit() or not 0 < int(old[key]) <= most:
+                spark.conf.set(key, most)
+        yield
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows of ``docs`` whose text the function that ``judge`` makes, once a task, says yes to."""
     columns, back = numbered(docs)
@@ -35,7 +76,7 @@ def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[str | None], b
         for batch in batches:
             yield batch.filter(pa.array([good(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema).select(*back)
+    return rows.mapInArrow(lean(run), rows.schema).select(*back)
 
 
 def crc_mod(column: str, n: int) -> Column:

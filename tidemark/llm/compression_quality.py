@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, crc_mod, filter_by_text, first_rows
+from tidemark.llm.common import bounded_sample, crc_mod, filter_by_text, first_rows, lean
 
 BLOCK = 1024
 FOLDS = 5
@@ -144,7 +144,7 @@ def _score(model: Model) -> Callable:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, the probability of label 1, for every row."""
-    return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(_score(model)), "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

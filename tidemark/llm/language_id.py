@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, crc_mod, filter_by_text
+from tidemark.llm.common import bounded_sample, crc_mod, filter_by_text, lean
 
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -162,7 +162,7 @@ def _predict(model: Model | None) -> Callable:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and accepted for every row."""
-    return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(_predict(model)), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, numbered, slices, written
+from tidemark.llm.common import discard, lean, numbered, slices, small_batches, written
 from tidemark.llm.text import Words, mix, shingle_keys, unique_counts
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -106,7 +106,8 @@ def idf_weights(docs: DataFrame) -> Weights:
 
     # Either table has at most FREQUENT times the mean number of shingles of a document rows on the driver.
     often = F.sum("n").alias("n"), F.col("n") * FREQUENT >= documents
-    buckets = texts.mapInArrow(count, "at long, n long").groupBy("at").agg(often[0]).where(often[1]).toArrow()
+    with small_batches(docs.sparkSession):
+        buckets = texts.mapInArrow(lean(count), "at long, n long").groupBy("at").agg(often[0]).where(often[1]).toArrow()
     chosen = np.zeros(1 << bits, bool)
     chosen[buckets.column("at").to_numpy()] = True
 
@@ -131,7 +132,8 @@ def idf_weights(docs: DataFrame) -> Weights:
 
     if not chosen.any():
         return Weights(np.zeros(0, np.uint64), np.zeros(0), rare)
-    counted = texts.mapInArrow(exact, "at long, n long").groupBy("at").agg(often[0]).where(often[1]).toArrow().sort_by("at")
+    with small_batches(docs.sparkSession):
+        counted = texts.mapInArrow(lean(exact), "at long, n long").groupBy("at").agg(often[0]).where(often[1]).toArrow().sort_by("at")
     return Weights(counted.column("at").to_numpy().astype(np.uint64), weight_of(counted.column("n").to_numpy(), documents), rare)
 
 
@@ -218,7 +220,7 @@ def _features(sets: list[bytes], weights: Weights) -> tuple[np.ndarray, np.ndarr
     return row[again], mix(shingle[again] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), w[again]
 
 
-def block_similarities(left: list[bytes], right: list[bytes], weights: Weights, dense_from: int = 4096, width: int = 2048) -> np.ndarray:
+def block_similarities(left: list[bytes], right: list[bytes], weights: Weights, dense_from: int = 4096, width: int = 2048, most: int = 1 << 20) -> np.ndarray:
     """The matrix of similarities between two blocks of sets."""
     (ra, fa, wa), (rb, fb, wb) = _features(left, weights), _features(right, weights)
     na, nb = len(left), len(right)
@@ -244,8 +246,11 @@ def block_similarities(left: list[bytes], right: list[bytes], weights: Weights,
                 matrix[r[use], column[i[use]] - low] = 1 if v is None else v[use]
             shared += x @ y.T
         few = np.flatnonzero(~dense)
-        for low in range(0, len(few), 4096):  # at most 4096 * dense_from products at once
-            f = few[low : low + 4096]
+        products = np.cumsum((ca * cb)[few])
+        at = 0
+        while at < len(few):  # about ``most`` products at once
+            end = max(at + 1, int(np.searchsorted(products, most + (products[at - 1] if at else 0), side="right")))
+            f, at = few[at:end], end
             n = ca[f] * cb[f]
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             f = np.repeat(f, n)
@@ -286,7 +291,18 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                 node = pa.array([x if y else None for x, y in zip(piece.column("node").to_pylist(), there, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), node, bands], names=["doc_id", "node", "bands"])
 
-    return rows.mapInArrow(sign, "doc_id long, node binary, bands array<long>")
+    return rows.mapInArrow(lean(sign), "doc_id long, node binary, bands array<long>")
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _dealt(rows: DataFrame, key: str, *aggs: Column) -> DataFrame:
+    """The aggregates of each ``key``, a row for each salt that its rows have: joined by key and salt, a hot key is as many
+    tasks. The aggregates are combined before the shuffle."""
+    whole = rows.groupBy(key).agg(*aggs, F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+    return whole.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1))).drop("salts")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -301,11 +317,12 @@ def components(links: DataFrame) -> DataFrame:
 
     now = state(edges)
     while now[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).select("u", "v", _salt("v"))
+        least = _dealt(both, "u", F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().select("u", "v", _salt("v"))
+        least = _dealt(large, "u", F.min("v").alias("m"))
+        tips = least.select("u", F.col("m").alias("v")).distinct()
+        small = large.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tips).where("u <> v").distinct()
         last, edges, before = edges, written(small, "cc"), now
         now = state(edges)
         discard(last)
@@ -326,18 +343,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: fl
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
     left = salted.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     right = salted.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return left.join(right, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary")
-
-
-def _per_band(rows: DataFrame, where: Column, *aggs: Column) -> DataFrame:
-    """The aggregates of the bands that meet ``where``, a row for each salt that the band's members have: joined by
-    band and salt, a hot band is as many tasks. The aggregates are combined before the shuffle."""
-    whole = rows.groupBy("band").agg(*aggs, F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).where(where)
-    return whole.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1))).drop("salts")
-
-
-def _salt(node: str) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int").alias("salt")
+    return left.join(right, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(lean(verify), "a binary, b binary")
 
 
 def _open(members: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -345,7 +351,7 @@ def _open(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return members.withColumn("comp", F.col("node"))
     rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return rows.join(_per_band(rows, F.expr("low <> high"), F.min("comp").alias("low"), F.max("comp").alias("high")).select("band", "salt"), ["band", "salt"])
+    return rows.join(_dealt(rows, "band", F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "salt"), ["band", "salt"])
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -390,7 +396,7 @@ def classes(docs: DataFrame, signed: DataFrame, weights: Weights, threshold: flo
     number of other texts to which a link was verified; what lies within one component by then is not verified."""
     nodes = written(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "dedup-nodes")
     bands = signed.where(F.col("node").isNotNull()).select(F.explode("bands").alias("band"), _salt("node"), "node").distinct()
-    shared = _per_band(bands, F.expr("low <> high"), F.min("node").alias("low"), F.max("node").alias("high")).select("band", "salt")
+    shared = _dealt(bands, "band", F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "salt")
     members = written(bands.join(shared, ["band", "salt"]), "dedup-buckets")
     none = F.lit(np.iinfo(np.int64).min)
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.coalesce("first", none).alias("first"))
@@ -401,7 +407,7 @@ def classes(docs: DataFrame, signed: DataFrame, weights: Weights, threshold: flo
             for piece in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(set_bytes(piece.column("text")), pa.binary())], names=["node", "set"])
 
-    sets = written(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(pack, "node binary, set binary"), "dedup-sets")
+    sets = written(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(lean(pack), "node binary, set binary"), "dedup-sets")
     proven: list[DataFrame] = []
     comps: DataFrame | None = None
     tested: DataFrame | None = None
@@ -416,7 +422,7 @@ def classes(docs: DataFrame, signed: DataFrame, weights: Weights, threshold: flo
 
     for by in (F.struct("node"), F.struct(F.xxhash64("node"), "node")):
         rows = _open(members, comps)
-        pivots = _per_band(rows, F.lit(True), F.min_by(F.struct("node", "comp"), by).alias("p")).select("band", "salt", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"))
+        pivots = _dealt(rows, "band", F.min_by(F.struct("node", "comp"), by).alias("p")).select("band", "salt", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"))
         pairs = rows.join(pivots, ["band", "salt"]).where("comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -424,7 +430,7 @@ def classes(docs: DataFrame, signed: DataFrame, weights: Weights, threshold: flo
         discard(last)
         join_links(written(_verified(tested, sets, weights, threshold), "dedup-links"))
     rest = written(_open(members, comps), "dedup-open")
-    few = _per_band(rest, F.lit(True), F.count("*").alias("members"))
+    few = _dealt(rest, "band", F.count("*").alias("members"))
     small = rest.join(few.where(F.col("members") <= SMALL).select("band", "salt"), ["band", "salt"])
     other = small.select("band", F.col("node").alias("b"), F.col("comp").alias("other_comp"))
     pairs = written(small.withColumnRenamed("node", "a").join(other, "band").where("comp < other_comp").select("a", "b").distinct(), "dedup-pairs")

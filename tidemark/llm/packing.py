@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, written
+from tidemark.llm.common import lean, slices, written
 
 WINDOW = 1024
 MERGE_GROUP = 1024
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
     Tokenised once and written; only the partial windows, at most one a task, are moved between tasks.
     Each merge takes ``MERGE_GROUP`` of them, at most ``MERGE_GROUP * window`` ids, until one group is left.
     """
-    done = written(docs.select("doc_id", "text").mapInArrow(_pack_tasks(tokenizer_path, window, open_windows, max_gap, keep_ids), _SCHEMA), "pack")
+    done = written(docs.select("doc_id", "text").mapInArrow(lean(_pack_tasks(tokenizer_path, window, open_windows, max_gap, keep_ids)), _SCHEMA), "pack")
     out = done.where(F.col("sequence_id").isNotNull())
     rest, level = done.where(F.col("sequence_id").isNull()), 1
     while True:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, first_rows, slices
+from tidemark.llm.common import bounded_sample, first_rows, lean, slices
 from tidemark.llm.text import Words, shingle_keys
 
 BITS = 20
@@ -218,4 +218,4 @@ def _score(model: Model | None) -> Callable:
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, expected severity, grade, p_toxic and toxic (a grade above 0) for every row."""
-    return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(_score(model)), "doc_id long, severity double, grade int, p_toxic double, toxic boolean")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import folder as shared_folder
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, written
 from tidemark.shared import delete_at_exit
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -128,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     revisits = resolve_revisits(rows.select("page_id", "url", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), min_bytes)
     tagged = rows.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_digest", "refers_to", "refers_to_url")
-    manifest = written(tagged.mapInArrow(_writer(uri, archive_bytes, level, date), "path string, bytes long, records long"), "warc-manifest")
+    manifest = written(tagged.mapInArrow(lean(_writer(uri, archive_bytes, level, date)), "path string, bytes long, records long"), "warc-manifest")
     if folder is None:
         delete_at_exit(spark, uri)
     return uri, manifest
@@ -206,4 +206,4 @@ def _reader(folder: str, payloads: bool) -> Callable:
 def read_archives(folder: str, manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the manifest's archives; payloads are checked against their digests."""
     n = max(1, min(manifest.count(), 10_000))
-    return manifest.select("path").repartition(n, "path").mapInArrow(_reader(folder, payloads), _RECORDS)
+    return manifest.select("path").repartition(n, "path").mapInArrow(lean(_reader(folder, payloads)), _RECORDS)
