@@ -470,14 +470,14 @@ def process_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).process_plugin("ToUppercase").df
 
 
-@query("SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_type IN ('error', 'signup')")
+@query("SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events")
 def process_rich_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     class Numbered(RunningCount):
         def process(self, key: tuple, row: dict, context: Context) -> Iterator[tuple]:
             for _, n in super().process(key, row, context):
                 yield row["event_id"], key[0], n
 
-    s = events(spark, sf_dir).filter(F.col("event_type").isin("error", "signup")).select("event_id", "event_type")
+    s = events(spark, sf_dir).select("event_id", "event_type")
     return s.key_by("event_type").process(Numbered("event_id"), "event_id long, event_type string, n long").df
 
 

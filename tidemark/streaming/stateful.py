@@ -1,8 +1,12 @@
 """Keyed processors on Spark's arbitrary stateful operator.
 
 A ``Processor`` sees the rows of one key at a time with value, list, map and reducing state and timers; state
-lives in the RocksDB store of the query's checkpoint. On a bounded stream the same processor is run per key
-over the rows in order, with state in memory; a key's rows are then streamed, not gathered, but one key is one task.
+lives in the RocksDB store of the query's checkpoint, is read once and written once per key and micro-batch. A
+micro-batch's rows of a key are put in order before they are processed, however the files hold them; they are held
+by the worker for that, so the source's rate limits (files or bytes a trigger) bound its memory. On a bounded stream the
+same processor is run per key over the rows in order, with state in memory; a key's rows are then streamed, not
+gathered, but one key is one task. Rows come as Python values: nulls are None, integers stay integers, a null key is a
+key, and so is NaN.
 """
 
 from __future__ import annotations
@@ -10,13 +14,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
-from tidemark.errors import StateError
+from tidemark.errors import ConfigError, StateError
 
 
 class Value:
@@ -209,20 +214,116 @@ class MemoryHandle:
         self.timers = set(snapshot["timers"])
 
 
+class _HeldValue:
+    """A value state that asks the store once per key and micro-batch, and writes back at the end."""
+
+    def __init__(self, state):
+        self.state = state
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = self.dirty = False
+        self.row = None
+
+    def get(self):
+        if not self.known:
+            self.row, self.known = self.state.get(), True
+        return self.row
+
+    def exists(self) -> bool:
+        return self.get() is not None
+
+    def update(self, row: tuple) -> None:
+        self.row, self.known, self.dirty = row, True, True
+
+    def clear(self) -> None:
+        self.update(None)
+
+    def flush(self) -> None:
+        if self.dirty:
+            self.state.clear() if self.row is None else self.state.update(self.row)
+        self.dirty = False
+
+
+class _HeldMap:
+    """Likewise for the entries of a map state; what looks at the whole map writes back first."""
+
+    def __init__(self, state):
+        self.state = state
+        self.forget()
+
+    def forget(self) -> None:
+        self.held: dict[tuple, tuple | None] = {}
+        self.dirty: set[tuple] = set()
+
+    def getValue(self, key: tuple):
+        if key not in self.held:
+            self.held[key] = self.state.getValue(key) if self.state.containsKey(key) else None
+        return self.held[key]
+
+    def containsKey(self, key: tuple) -> bool:
+        return self.getValue(key) is not None
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.held[key] = value
+        self.dirty.add(key)
+
+    def removeKey(self, key: tuple) -> None:
+        self.held[key] = None
+        self.dirty.add(key)
+
+    def flush(self) -> None:
+        for key in self.dirty:
+            value = self.held[key]
+            if value is not None:
+                self.state.updateValue(key, value)
+            elif self.state.containsKey(key):
+                self.state.removeKey(key)
+        self.dirty.clear()
+
+    def clear(self) -> None:
+        self.forget()
+        self.state.clear()
+
+    def _whole(self, what: str):
+        self.flush()
+        return getattr(self.state, what)()
+
+    def exists(self) -> bool:
+        return self._whole("exists")
+
+    def iterator(self):
+        return self._whole("iterator")
+
+    def keys(self):
+        return self._whole("keys")
+
+    def values(self):
+        return self._whole("values")
+
+
 class Context:
-    """What a processor may use: state by name, timers, the watermark and the processing time."""
+    """What a processor may use: state by name, timers, side outputs, the watermark and the processing time."""
 
     def __init__(self, handle, key: tuple = (), watermark_ms: int = -1, now_ms: int = -1):
         self.handle, self.key, self.watermark_ms, self.now_ms = handle, key, watermark_ms, now_ms
+        self.held: list[_HeldValue | _HeldMap] = []
+        self.sides: list[tuple[str, tuple]] = []
+
+    def _hold(self, state, how: type):
+        if isinstance(self.handle, MemoryHandle):
+            return state
+        self.held.append(how(state))
+        return self.held[-1]
 
     def value(self, name: str, kind: str) -> Value:
-        return Value(self.handle.getValueState(name, f"v {kind}"))
+        return Value(self._hold(self.handle.getValueState(name, f"v {kind}"), _HeldValue))
 
     def list(self, name: str, kind: str) -> ListOf:
         return ListOf(self.handle.getListState(name, f"v {kind}"))
 
     def map(self, name: str, key: str, value: str) -> MapOf:
-        return MapOf(self.handle.getMapState(name, f"k {key}", f"v {value}"))
+        return MapOf(self._hold(self.handle.getMapState(name, f"k {key}", f"v {value}"), _HeldMap))
 
     def reducing(self, name: str, kind: str, f: Callable[[Any, Any], Any]) -> Reducing:
         return Reducing(self.value(name, kind), f)
@@ -233,14 +334,20 @@ class Context:
     def delete_timer(self, at_ms: int) -> None:
         self.handle.deleteTimer(at_ms)
 
+    def side_output(self, tag: str, *values: Any) -> None:
+        """Give a row to the side output ``tag``, beside what ``process`` or ``on_timer`` yields."""
+        self.sides.append((tag, values))
+
 
 class Processor:
     """Override ``open`` to declare state, ``process`` for rows, ``on_timer`` for timers; each gives output tuples.
 
-    ``order`` names the column by which the rows of a batch are sorted before they are processed.
+    ``order`` names the column by which the rows of a micro-batch are sorted before they are processed, nulls first.
+    ``schema`` (DDL) names what it gives, where the caller doesn't.
     """
 
     order: str | None = None
+    schema: str | None = None
 
     def open(self, context: Context) -> None:
         """Called once with a context for declaring state."""
@@ -255,32 +362,73 @@ class Processor:
         """Called at the end."""
 
 
-class _Adapter(StatefulProcessor):
-    def __init__(self, processor: Processor, columns: list[str]):
-        self.processor, self.columns = processor, columns
+class _Output:
+    """Makes the output rows. With side outputs a row has its tag (``main`` or the side's) and a struct for each."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.processor.open(Context(handle))
+    def __init__(self, kind: StructType, sides: dict[str, StructType]):
+        if "main" in sides:
+            raise ConfigError("a side output can't be named main")
+        self.kind, self.sides = kind, sides
+        self.schema = kind if not sides else StructType([StructField("tag", StringType()), StructField("main", kind), *[StructField(t, k) for t, k in sides.items()]])
+        self.tags = ["main", *sides]
+
+    def tagged(self, tag: str, values: tuple) -> tuple:
+        if tag not in self.tags:
+            raise ConfigError(f"unknown side output {tag!r}")
+        kind = self.sides.get(tag, self.kind)
+        return (tag, *[Row(*kind.names)(*values) if t == tag else None for t in self.tags])
+
+    def rows(self, given: Iterator[tuple], context: Context) -> Iterator[tuple]:
+        for values in given or ():
+            yield self.tagged("main", values) if self.sides else tuple(values)
+            yield from self.drained(context)
+        yield from self.drained(context)
 
-    def _frame(self, rows) -> pd.DataFrame:
-        return pd.DataFrame(list(rows), columns=self.columns)
+    def drained(self, context: Context) -> Iterator[tuple]:
+        for tag, values in context.sides:
+            yield self.tagged(tag, values)
+        context.sides.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        context = Context(self.handle, key, _time(timerValues.getCurrentWatermarkInMs), _time(timerValues.getCurrentProcessingTimeInMs))
-        for batch in rows:
-            if self.processor.order:
-                batch = batch.sort_values(self.processor.order, kind="stable")
-            yield self._frame(x for r in batch.to_dict("records") for x in self.processor.process(key, r, context))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        context = Context(self.handle, key, _time(timerValues.getCurrentWatermarkInMs), _time(timerValues.getCurrentProcessingTimeInMs))
-        yield self._frame(self.processor.on_timer(key, expiredTimerInfo.getExpiryTimeInMs(), context))
+class _Adapter(StatefulProcessor):
+    def __init__(self, processor: Processor, output: _Output):
+        self.processor, self.output, self.row = processor, output, Row(*output.schema.names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        opened = Context(handle)
+        self.processor.open(opened)
+        self.held = opened.held
+
+    def _run(self, key: tuple, timer_values, work: Callable[[Context], Iterator[tuple]]) -> Iterator[Row]:
+        context = Context(self.handle, key, _time(timer_values.getCurrentWatermarkInMs), _time(timer_values.getCurrentProcessingTimeInMs))
+        for state in self.held:
+            state.forget()
+        for values in work(context):
+            yield self.row(*values)
+        for state in self.held:
+            state.flush()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        def work(context: Context) -> Iterator[tuple]:
+            for row in in_order(rows, self.processor.order):
+                yield from self.output.rows(self.processor.process(tuple(key), row.asDict(), context), context)
+
+        return self._run(tuple(key), timerValues, work)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        return self._run(tuple(key), timerValues, lambda context: self.output.rows(self.processor.on_timer(tuple(key), at, context), context))
 
     def close(self) -> None:
         self.processor.close()
 
 
+def in_order(rows: Iterator[Row], order: str | None) -> Iterator[Row]:
+    """All rows by ``order``, nulls first, equal ones as they came."""
+    return rows if order is None else iter(sorted(rows, key=lambda r: (False,) if r[order] is None else (True, r[order])))
+
+
 def _time(get: Callable[[], int]) -> int:
     try:
         return get()
@@ -288,20 +436,34 @@ def _time(get: Callable[[], int]) -> int:
         return -1
 
 
-def run(df: DataFrame, keys: list[str], processor: Processor, schema: str, mode: str = "Append", time_mode: str = "None") -> DataFrame:
+def _same(a: tuple | None, b: tuple) -> bool:
+    return a is not None and all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    plain = lambda x: x.asDict(True) if isinstance(x, Row) else x
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array([plain(x) for x in c], t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+def run(df: DataFrame, keys: list[str], processor: Processor, schema: str | None = None, mode: str = "Append", time_mode: str = "None", sides: dict[str, str] | None = None) -> DataFrame:
     """Rows given by ``processor`` for each key of ``df``; ``schema`` (DDL) names them.
 
-    Bounded: rows per key in ``processor.order``; all timers fire at the end, in order of time.
+    With ``sides`` (schema by tag) the rows are (tag, main, a column per side). Bounded: rows per key in
+    ``processor.order``; the input is one micro-batch, so all timers fire at its end, in order of time.
     """
-    kind = _parse_datatype_string(schema)
+    if not (schema or processor.schema):
+        raise ConfigError("a processor needs the schema of what it gives")
+    output = _Output(_parse_datatype_string(schema or processor.schema), {t: _parse_datatype_string(k) for t, k in (sides or {}).items()})
     if df.isStreaming:
-        return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=_Adapter(processor, kind.names), outputStructType=kind, outputMode=mode, timeMode=time_mode)
+        return df.groupBy(*keys).transformWithState(statefulProcessor=_Adapter(processor, output), outputStructType=output.schema, outputMode=mode, timeMode=time_mode)
 
     # One pass over rows sorted by key and order: no key's rows are held together.
-    order = [F.col(processor.order)] if processor.order else []
+    order = [F.col(processor.order).asc_nulls_first()] if processor.order else []
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    arrow = to_arrow_schema(output.schema)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle, current, context = MemoryHandle(), None, None
 
         def finish() -> list[tuple]:
@@ -309,7 +471,7 @@ def run(df: DataFrame, keys: list[str], processor: Processor, schema: str, mode:
             while handle.timers:
                 at, key = min(handle.timers, key=lambda x: x[0])
                 handle.timers.discard((at, key))
-                out += processor.on_timer(current, at, context)
+                out += output.rows(processor.on_timer(current, at, context), context)
             for _, store in handle.stores.values():
                 store.clear()
             return out
@@ -317,20 +479,20 @@ def run(df: DataFrame, keys: list[str], processor: Processor, schema: str, mode:
         processor.open(Context(handle))
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
-                if key != current:
+                if not _same(current, key):
                     if current is not None:
                         out += finish()
                     handle.key = current = key
                     context = Context(handle, key)
-                out += processor.process(key, row, context)
-            yield pd.DataFrame(out, columns=kind.names)
+                out += output.rows(processor.process(current, row, context), context)
+            yield _batch(out, arrow)
         if current is not None:
-            yield pd.DataFrame(finish(), columns=kind.names)
+            yield _batch(finish(), arrow)
         processor.close()
 
-    return sorted_rows.mapInPandas(each, kind)
+    return sorted_rows.mapInArrow(each, output.schema)
 
 
 class RunningCount(Processor):
@@ -351,17 +513,17 @@ class RunningCount(Processor):
 def reduce_groups(df: DataFrame, keys: list[str], order: str, f, value: str, to: str, returns: str) -> DataFrame:
     """``df`` with the running reduction by a Python function: one state per key, rows sorted, none gathered."""
     function = f.reduce if hasattr(f, "reduce") else f
-    schema = StructType([*df.schema.fields, StructField(to, _parse_datatype_string(returns))])
-    columns = df.columns
+    schema = StructType([*(x for x in df.schema.fields if x.name != to), StructField(to, _parse_datatype_string(returns))])
+    arrow = to_arrow_schema(schema)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, acc = None, None
         for batch in batches:
             out = []
-            for key, x in zip(zip(*(batch[k] for k in keys), strict=True), batch[value], strict=True):
-                acc = function(acc, x) if key == current else x
-                current = key
+            for *key, x in zip(*(batch.column(k).to_pylist() for k in keys), batch.column(value).to_pylist(), strict=True):
+                acc = function(acc, x) if _same(current, tuple(key)) else x
+                current = tuple(key)
                 out.append(acc)
-            yield batch[columns].assign(**{to: out})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in schema.names[:-1]), pa.array(out, arrow.field(to).type)], schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(each, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, F.col(order).asc_nulls_first()).mapInArrow(each, schema)
