@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError
-from tidemark.operators.scan import Running, running
+from tidemark.operators import scan
+from tidemark.operators.scan import Running, order_ranges, running
 from tidemark.operators.stream import DataStream, StreamEnvironment
 from tidemark.operators.windows import Count, Session, Sliding, TimeWindow, Tumbling, check
 
@@ -144,3 +145,50 @@ def test_hot_key_is_spread(spark):
     out = running(df, ["k"], "i", [Running("n", "count")], 16)
     assert out.where("n = i + 1").count() == 1000
     assert isinstance(StreamEnvironment(spark).from_dataframe(df), DataStream)
+
+
+AGGREGATES = [Running("n", "count"), Running("s", "sum", "v"), Running("lo", "min_by", "id", "v"), Running("hi", "max_by", "id", "v")]
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "double", "decimal(12,3)", "long"])
+def test_orders_of_any_kind_with_nulls_and_close_ties(spark, kind):
+    """Rows without an order come first; orders half a second, or a thousandth, apart are told apart; one is far away."""
+    rng = random.Random(4)
+    step = {"date": "date_add(date'2024-01-01', cast(i as int))", "timestamp": "timestamp_millis(i * 500)", "timestamp_ntz": "cast(timestamp_millis(i * 500) as timestamp_ntz)"}.get(kind, f"cast(i / 1000 as {kind})" if kind != "long" else "i")
+    rows = [(j, None if j < 2 else (100_000 if j == 2 else rng.randrange(10**6)), "ab"[j % 2], rng.randrange(3)) for j in range(150)]
+    order = {j: n for n, j in enumerate(sorted((i, j) for j, i, _, _ in rows if i is not None))}
+    df = spark.createDataFrame([(j, None if i is None else order[(i, j)] + (10**5 if (i, j) == max(order) else 0), k, v) for j, i, k, v in rows], "id long, i long, k string, v long")
+    df = df.withColumn("o", F.expr(step)).drop("i")
+    got = {r.id: (r.n, r.s, r.lo, r.hi) for r in running(df, ["k"], "o", AGGREGATES, 7).collect()}
+    assert len(got) == 150
+    ranks = {r.id: r.o for r in df.collect()}
+    for key in "ab":
+        mine = sorted(((ranks[j] is not None, ranks[j] or 0, j, v) for j, _, k, v in rows if k == key), key=lambda x: x[:2] if x[0] else (False,))
+        for n in range(1, len(mine) + 1):
+            seen = [(v, at, j) for at, (_, _, j, v) in enumerate(mine[:n])]
+            assert got[mine[n - 1][2]] == (n, sum(v for v, _, _ in seen), min(seen)[2], min((-v, at, j) for v, at, j in seen)[2])
+
+
+def test_an_order_of_text_is_refused(spark):
+    with pytest.raises(ConfigError, match="numeric"):
+        running(spark.createDataFrame([("a",)], "o string"), [], "o", [Running("n", "count")])
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """One outlier does not empty the other ranges; more rows give more ranges, known bounds need no job."""
+    df = spark.range(20_000).select(F.when(F.col("id") == 19_999, 10**15).otherwise(F.col("id")).alias("o"))
+    sizes = [r["count"] for r in df.groupBy(order_ranges(df, "o")).count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 2000
+    monkeypatch.setattr(scan, "RANGE_ROWS", 50)
+    sizes = [r["count"] for r in df.groupBy(order_ranges(df, "o")).count().collect()]
+    assert len(sizes) > 300 and max(sizes) <= 400
+    out = running(df, [], "o", [Running("n", "count")])
+    assert out.agg(F.count("*"), F.countDistinct("n"), F.max("n")).first() == (20_000, 20_000, 20_000)
+    ranges = order_ranges(df, "o", bounds=[100, 5000])
+    assert sorted(r["count"] for r in df.groupBy(ranges).count().collect()) == [100, 4900, 15_000]
+
+
+def test_sessions_leave_out_rows_without_a_time(spark):
+    df = spark.createDataFrame([(None, 1), (EPOCH, 2), (EPOCH + timedelta(seconds=1), 4)], "ts timestamp_ntz, v long")
+    s = StreamEnvironment(spark).from_dataframe(df.withColumn("key", F.lit("a")), time="ts")
+    assert [r["sum"] for r in s.key_by("key").session_window(5000).sum("v").df.collect()] == [6]

@@ -2,24 +2,31 @@
 
 A window over a whole key would put a hot key, or a stream without keys, in one task. Here the order is cut
 into ranges: rows are scanned within (key, range), the ranges' totals, one small row each, are scanned per key, and
-what came before a range is added to its rows. The result is that of the plain window.
+what came before a range is added to its rows. The result is that of the plain window, nulls first in the order.
+
+The ranges are cut at approximate quantiles, and each part between two of them into parts of equal width, so that an outlier
+costs at most the share of one quantile. Their number grows with the rows: about ``RANGE_ROWS`` in each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DecimalType, NumericType, TimestampNTZType, TimestampType
 
 from tidemark.errors import ConfigError
 
-RANGES = 32
+RANGES = 32  # at least so many, if there are rows enough to tell
+RANGE_ROWS = 1 << 18
+QUANTILES = 128
 
 
 @dataclass(frozen=True)
 class Running:
-    """``kind``: sum, count, min, max, min_by, max_by, and first; ``value`` the column, ``by`` what min_by and max_by compare."""
+    """``kind``: sum, count, min, max, min_by, max_by; ``value`` the column, ``by`` what min_by and max_by compare."""
 
     name: str
     kind: str
@@ -40,39 +47,81 @@ def _join(kind: str, before: Column, here: Column) -> Column:
     return (F.least if kind in ("min", "min_by") else F.greatest)(before, here)
 
 
-def order_ranges(df: DataFrame, order: str, ranges: int) -> Column:
-    """The range of a row: ``ranges`` parts of equal width between the least and the greatest order."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None or low == high:
-        return F.lit(0)
-    position = F.col(order)
-    if hasattr(low, "year"):  # a point in time
-        low, high = (int(x.timestamp() * 1_000_000) if x.tzinfo else int((x - type(x)(1970, 1, 1)).total_seconds() * 1_000_000) for x in (low, high))
-        position = F.unix_micros(F.col(order).cast("timestamp"))
-    return F.width_bucket(position.cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(ranges))
+def position(df: DataFrame, order: str) -> Column:
+    """A number that grows with ``order``, which is numeric or a point in time: microseconds, days, or itself."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, TimestampType | TimestampNTZType):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    if isinstance(kind, DateType):
+        return F.unix_date(order).cast("long")
+    if isinstance(kind, NumericType):
+        return F.col(order)
+    raise ConfigError(f"an order is numeric or a point in time, {order!r} is {kind.simpleString()}")
+
+
+def _place(at: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``at``, plus ``first``; by bisection."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(at < F.lit(cuts[middle]), _place(at, cuts[:middle], first)).otherwise(_place(at, cuts[middle + 1 :], first + middle + 1))
 
 
-def running(df: DataFrame, keys: list[str], order: str, aggregates: list[Running], ranges: int = RANGES) -> DataFrame:
+def order_ranges(df: DataFrame, order: str, ranges: int | None = None, bounds: Sequence[float] | None = None) -> Column:
+    """The range of a row, growing with ``order``; -1 for a null order.
+
+    ``bounds`` are known cuts of the order's position (see ``position``); without them one aggregation of ``df`` finds
+    them. ``ranges`` is how many ranges to aim at; by default it grows with the rows.
+    """
+    at = position(df, order).cast("double")
+    if bounds is not None:
+        return F.coalesce(F.when(at.isNotNull(), _place(at, sorted(set(bounds)))), F.lit(-1)).cast("long")
+    if ranges == 1:
+        return F.when(at.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    parts = QUANTILES if ranges is None else min(QUANTILES, ranges)
+    shares = [i / parts for i in range(1, parts)]
+    rows, least, most, cuts = df.agg(F.count(at), F.min(at), F.max(at), F.percentile_approx(at, F.array(*map(F.lit, shares)), F.lit(1000))).first()
+    if not rows or least == most:
+        return F.when(at.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    wanted = max(RANGES, -(-rows // RANGE_ROWS)) if ranges is None else ranges
+    if ranges is None and wanted < parts:  # few rows: every so many quantiles
+        cuts = cuts[:: -(-parts // wanted)]
+    cuts = sorted({float(x) for x in cuts} - {float(least)})
+    within = max(1, -(-wanted // (len(cuts) + 1)))
+    place = _place(at, cuts).cast("long")
+    if within > 1:
+        low, high = F.array(*map(F.lit, [float(least), *cuts])), F.array(*map(F.lit, [*cuts, float(most)]))
+        a, b = F.element_at(low, (place + 1).cast("int")), F.element_at(high, (place + 1).cast("int"))
+        part = F.when(b > a, F.least(F.floor((at - a) / (b - a) * within), F.lit(within - 1))).otherwise(F.lit(0))
+        place = place * within + part.cast("long")
+    return F.when(at.isNull(), F.lit(-1)).otherwise(place).cast("long")
+
+
+def running(df: DataFrame, keys: list[str], order: str, aggregates: list[Running], ranges: int | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
     """``df`` with a column per aggregate over all rows of the same keys up to and with the row, by ``order``.
 
-    ``order`` must be unique per key. min_by and max_by give the value of the first row with the least or
-    greatest ``by``. Null values are left out by sum, min and max.
+    ``order`` must be unique per key; rows without one come first. min_by and max_by give the value of the first row
+    with the least or greatest ``by``. Null values are left out by sum, min and max.
     """
     if df.isStreaming:
         raise ConfigError("running results of an unbounded stream come from streaming.stateful, or totals()")
     if not aggregates:
         return df
-    rows = df.withColumn("_range", order_ranges(df, order, ranges))
+    rows = df.withColumn("_range", order_ranges(df, order, ranges, bounds))
+    at = position(df, order)
+    if isinstance(df.schema[order].dataType, DecimalType):
+        at = at.cast("decimal(38,6)")
     for a in aggregates:
         if a.kind == "count":
             c = F.lit(1).cast("long")
         elif a.kind in ("min_by", "max_by"):
-            tie = F.col(order).cast("long") if a.kind == "min_by" else -F.col(order).cast("long")
-            c = F.when(F.col(a.by).isNotNull(), F.struct(F.col(a.by).alias("by"), tie.alias("tie"), F.col(a.value).alias("value")))
+            # Of equals the earliest: nulls come first, and a larger order loses.
+            early = F.struct(at.isNotNull().cast("int").alias("known"), at.alias("at")) if a.kind == "min_by" else F.struct(at.isNull().cast("int").alias("known"), (-at).alias("at"))
+            c = F.when(F.col(a.by).isNotNull(), F.struct(F.col(a.by).alias("by"), early.alias("tie"), F.col(a.value).alias("value")))
         else:
             c = F.col(a.value)
         rows = rows.withColumn(f"_v_{a.name}", c)
-    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_range").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*keys, "_range").agg(*[_fold(a.kind, F.col(f"_v_{a.name}")).alias(f"_t_{a.name}") for a in aggregates])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     kept = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]

@@ -18,7 +18,7 @@ from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 from tidemark.errors import ConfigError
 from tidemark.functions import scalars, udf
 from tidemark.operators import windows
-from tidemark.operators.scan import RANGES, Running, running
+from tidemark.operators.scan import Running, running
 from tidemark.plans.chains import ChainReport, report
 from tidemark.plans.graph import JobConfig, JobGraph, Partition, RestartStrategy, Vertex
 
@@ -244,12 +244,12 @@ class DataStream:
             rest = rest & ~F.coalesce(cond, F.lit(False))
         return out | {"main": self._next("side_output", "main", self.df.where(rest))}
 
-    def late(self, every: int, lateness_ms: int, ranges: int = RANGES) -> tuple[DataStream, DataStream]:
+    def late(self, every: int, lateness_ms: int, ranges: int | None = None) -> tuple[DataStream, DataStream]:
         """(on time, late) by the watermark that the source would have emitted every ``every`` rows."""
         marked = windows.late_marks(self.df, self._need("time"), self._need("order"), every, lateness_ms, ranges)
         return self._next("filter", "on_time", marked.where(~F.col("late"))), self._next("side_output", "late", marked.where(F.col("late")))
 
-    def count(self, to: str = "count", ranges: int = RANGES) -> DataStream:
+    def count(self, to: str = "count", ranges: int | None = None) -> DataStream:
         """The number of rows so far, in arrival order."""
         return self._next("count", "count", running(self.df, [], self._need("order"), [Running(to, "count")], ranges))
 
@@ -323,31 +323,31 @@ class KeyedStream:
         s = self.stream
         return s._next(operator, operator, running(s.df, list(self.keys), s._need("order"), aggregates, ranges))
 
-    def sum(self, value: str, to: str = "sum", ranges: int = RANGES) -> DataStream:
+    def sum(self, value: str, to: str = "sum", ranges: int | None = None) -> DataStream:
         """The running sum after each row; likewise the following."""
         return self._running("reduce", [Running(to, "sum", value)], ranges)
 
-    def min(self, value: str, to: str = "min", ranges: int = RANGES) -> DataStream:
+    def min(self, value: str, to: str = "min", ranges: int | None = None) -> DataStream:
         return self._running("reduce", [Running(to, "min", value)], ranges)
 
-    def max(self, value: str, to: str = "max", ranges: int = RANGES) -> DataStream:
+    def max(self, value: str, to: str = "max", ranges: int | None = None) -> DataStream:
         return self._running("reduce", [Running(to, "max", value)], ranges)
 
-    def min_by(self, by: str, value: str, to: str = "min_by", ranges: int = RANGES) -> DataStream:
+    def min_by(self, by: str, value: str, to: str = "min_by", ranges: int | None = None) -> DataStream:
         """``value`` of the row with the least ``by`` so far, the earliest of equals."""
         return self._running("reduce", [Running(to, "min_by", value, by)], ranges)
 
-    def max_by(self, by: str, value: str, to: str = "max_by", ranges: int = RANGES) -> DataStream:
+    def max_by(self, by: str, value: str, to: str = "max_by", ranges: int | None = None) -> DataStream:
         return self._running("reduce", [Running(to, "max_by", value, by)], ranges)
 
-    def count(self, to: str = "count", ranges: int = RANGES) -> DataStream:
+    def count(self, to: str = "count", ranges: int | None = None) -> DataStream:
         return self._running("count", [Running(to, "count")], ranges)
 
     def reduce(self, f: str | udf.ReduceFunction | Callable[[Any, Any], Any], value: str, to: str = "reduced", returns: str = "double") -> DataStream:
         """A running reduction: ``sum``, ``min`` or ``max`` by name, or a Python function, which takes the rows of a
         key one by one in arrival order."""
         if isinstance(f, str):
-            return self._running("reduce", [Running(to, f, value)], RANGES)
+            return self._running("reduce", [Running(to, f, value)], None)
         from tidemark.streaming.stateful import reduce_groups
 
         s = self.stream
@@ -393,7 +393,7 @@ class WindowedStream:
     keyed: KeyedStream
     spec: windows.Spec
 
-    def aggregate(self, *aggs: Column, ranges: int = RANGES) -> DataStream:
+    def aggregate(self, *aggs: Column, ranges: int | None = None) -> DataStream:
         s = self.keyed.stream
         time = s._need("time") if isinstance(self.spec, windows.Tumbling | windows.Sliding | windows.Session) else s.time
         order = s._need("order") if isinstance(self.spec, windows.Count) else s.order

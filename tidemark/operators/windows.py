@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError
-from tidemark.operators.scan import RANGES, Running, order_ranges, running
+from tidemark.operators.scan import Running, order_ranges, running
 
 
 @dataclass(frozen=True, order=True)
@@ -99,7 +99,7 @@ def _assigned(df: DataFrame, time: str, spec: Tumbling | Sliding) -> DataFrame:
     return rows if isinstance(spec, Tumbling) else rows.where(F.unix_millis(F.col("window_start").cast("timestamp")) >= 0)
 
 
-def aggregate(df: DataFrame, keys: list[str], time: str | None, spec: Spec, aggs: list[Column], order: str | None = None, ranges: int = RANGES) -> DataFrame:
+def aggregate(df: DataFrame, keys: list[str], time: str | None, spec: Spec, aggs: list[Column], order: str | None = None, ranges: int | None = None) -> DataFrame:
     """Window columns, keys and ``aggs``. Time windows give window_start and window_end, count windows window_index.
 
     Grouped aggregates combine before the shuffle, so a hot key is no hot task.
@@ -130,12 +130,14 @@ def aggregate(df: DataFrame, keys: list[str], time: str | None, spec: Spec, aggs
     return out.select("window_start", "window_end", *keys, *[c for c in out.columns if c not in ("window_start", "window_end", "_last", "_session", *keys)])
 
 
-def sessions(df: DataFrame, keys: list[str], time: str, gap_ms: int, ranges: int = RANGES) -> DataFrame:
+def sessions(df: DataFrame, keys: list[str], time: str, gap_ms: int, ranges: int | None = None) -> DataFrame:
     """``df`` with ``_session``, the start of the row's session: a gap longer than ``gap_ms`` starts a new one.
 
     Gaps are looked for within (key, range of time); where a range begins, the last time of the ranges before
-    decides, and a session that reaches over ranges is named by its first row in the first of them.
+    decides, and a session that reaches over ranges is named by its first row in the first of them. Rows without a time are
+    in no session.
     """
+    columns, df = df.columns, df.where(F.col(time).isNotNull())
     rows = df.withColumn("_range", order_ranges(df, time, ranges)).withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
     inside = Window.partitionBy(*keys, "_range").orderBy("_us")
     rows = rows.withColumn("_prev", F.lag("_us").over(inside))
@@ -151,10 +153,10 @@ def sessions(df: DataFrame, keys: list[str], time: str, gap_ms: int, ranges: int
     match = (F.col("_range") == F.col("_r")) & (F.col("_start") == F.col("_s"))
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(parts, match).select(*df.columns, "_session")
+    return rows.join(parts, match).select(*columns, "_session")
 
 
-def late_marks(df: DataFrame, time: str, order: str, every: int, lateness_ms: int, ranges: int = RANGES) -> DataFrame:
+def late_marks(df: DataFrame, time: str, order: str, every: int, lateness_ms: int, ranges: int | None = None) -> DataFrame:
     """``df`` with ``watermark``, the one in force when the row arrives, and ``late``: time <= watermark.
 
     After every ``every`` rows in arrival order the source emits the greatest time so far less ``lateness_ms``.
