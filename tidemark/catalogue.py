@@ -11,11 +11,14 @@ from pyspark.sql.types import LongType
 
 from tidemark.functions import scalars
 from tidemark.functions.codecs import JsonCodec, decode
+from tidemark.functions.udf import KeySelector, register
+from tidemark.operators.scan import Running, running
 from tidemark.operators.stream import DataStream, StreamEnvironment
 from tidemark.plans.job import compile_job
+from tidemark.shared import folder, written
 from tidemark.sources.builders import Generator
 from tidemark.streaming.exactly_once import StagedSink, distinct_writes
-from tidemark.streaming.run import available_now, collected, folder
+from tidemark.streaming.run import available_now, collected
 from tidemark.streaming.stateful import Context, Processor, RunningCount
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +60,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataStream:
     return table(spark, sf_dir, "part", value="p_name").select("p_partkey", "p_name")
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataStream:
-    s = table(spark, sf_dir, "documents", value="text", order="doc_id")
-    return s.filter(F.col("lang") == "en").select("doc_id", "text")
+def texts(spark: SparkSession, sf_dir: str) -> DataStream:
+    return table(spark, sf_dir, "documents", value="text", order="doc_id").select("doc_id", "text")
 
 
 # Named functions
@@ -76,17 +78,17 @@ for _name, _sql in {
     query(f"SELECT p_partkey, {_sql} AS result FROM part")(_map)
 
 
-@query(r"SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word FROM documents WHERE lang = 'en') WHERE word <> ''")
+@query(r"SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word FROM documents) WHERE word <> ''")
 def flatmap_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return english(spark, sf_dir).flat_map("split_words", to="word").select("doc_id", "word").df
+    return texts(spark, sf_dir).flat_map("split_words", to="word").select("doc_id", "word").df
 
 
 @query(
     "SELECT doc_id, line FROM (SELECT doc_id, parts, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM"
-    r" (SELECT doc_id, string_split_regex(text, '\r?\n') AS parts FROM documents WHERE lang = 'en')) WHERE NOT (i = len(parts) AND line = '')"
+    r" (SELECT doc_id, string_split_regex(text, '\r?\n') AS parts FROM documents)) WHERE NOT (i = len(parts) AND line = '')"
 )
 def flatmap_split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return english(spark, sf_dir).flat_map("split_lines", to="line").select("doc_id", "line").df
+    return texts(spark, sf_dir).flat_map("split_lines", to="line").select("doc_id", "line").df
 
 
 @query("SELECT p_partkey, trim(unnest(string_split(p_name || ', ' || p_brand || ',,' || p_type, ','))) AS field FROM part")
@@ -106,11 +108,11 @@ for _name, _value, _sql in (
     _filter.__name__ = f"filter_{_name}"
     query(f"SELECT p_partkey, p_name FROM part WHERE {_sql}")(_filter)
 
-_WORDS = r"(SELECT doc_id, pos, lower(w) AS word FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE lang = 'en')))"
+_WORDS = r"(SELECT doc_id, pos, lower(w) AS word FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents)))"
 
 
 def word_stream(spark: SparkSession, sf_dir: str) -> DataStream:
-    s = english(spark, sf_dir).flat_map("split_lower_words", to="word", position="pos")
+    s = texts(spark, sf_dir).flat_map("split_lower_words", to="word", position="pos")
     return s.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "word", (F.col("doc_id") * (1 << 24) + F.col("pos")).alias("arrival"))
 
 
@@ -158,6 +160,25 @@ def word_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.sum("n").alias("n_words"), F.count("*").alias("n_unique"))
 
 
+@query(
+    f"WITH w AS {_WORDS}, lines AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), firsts AS (SELECT doc_id, count(*) AS n FROM (SELECT word, min(doc_id) AS doc_id FROM w GROUP BY word) GROUP BY doc_id)"
+    " SELECT doc_id, (sum(lines.n) OVER o)::BIGINT AS n_words, (sum(coalesce(firsts.n, 0)) OVER o)::BIGINT AS n_unique FROM lines LEFT JOIN firsts USING (doc_id) WINDOW o AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)"
+)
+def word_summary_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After each text the words and the different words so far: a word is new in the first text that holds it."""
+    words = word_stream(spark, sf_dir)
+    lines = words.key_by("doc_id").totals(F.count("*").alias("n")).df
+    firsts = words.key_by("word").totals(F.min("doc_id").alias("doc_id")).df.groupBy("doc_id").agg(F.count("*").alias("new"))
+    both = written(lines.join(firsts, "doc_id", "left").select("doc_id", "n", F.coalesce("new", F.lit(0).cast("long")).alias("new")), "summary")
+    return running(both, [], "doc_id", [Running("n_words", "sum", "n"), Running("n_unique", "sum", "new")]).select("doc_id", "n_words", "n_unique")
+
+
+@query(r"SELECT i AS arrival, upper(w) AS value FROM (SELECT unnest(['to', 'be', 'or', 'not', 'to', 'be']) AS w, unnest(range(6)) AS i) WHERE w <> 'or'")
+def collection_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = StreamEnvironment(spark).from_collection(["to", "be", "or", "not", "to", "be"], "string")
+    return s.filter(F.col("value") != "or").map("uppercase").select("arrival", "value").df
+
+
 # Running aggregates
 
 _RUN = "OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)"
@@ -434,6 +455,44 @@ def udf_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.key_by("user_id").reduce(Larger(), "value", "greatest").select("event_id", "user_id", "greatest").df
 
 
+class LongNames:
+    def filter(self, value: str) -> bool:
+        return len(value) > 12
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) > 12")
+def udf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).filter(LongNames()).df
+
+
+@query("SELECT substr(p_name, 1, 1) AS key, count(*) AS n FROM part GROUP BY ALL")
+def key_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).key_by(KeySelector(lambda c: F.substring(c, 1, 1))).totals(F.count("*").alias("n")).df
+
+
+@query(f"SELECT window_start, window_end, event_type, min(value) AS least FROM (SELECT {_DAYS}, event_type, value FROM events) GROUP BY ALL")
+def window_reduce_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).key_by("event_type").tumbling_window(DAY).reduce(min, "value", "least").df
+
+
+def rises(window: dict, rows: Iterator[dict]) -> Iterator[tuple]:
+    """How often a value is above the one before it, and the last event of the window."""
+    before = last = None
+    n = 0
+    for row in rows:
+        n += before is not None and row["value"] > before
+        before, last = row["value"], row["event_id"]
+    yield n, last
+
+
+@query(
+    f"SELECT window_start, window_end, event_type, count(*) FILTER (value > before) AS n_rises, max(event_id) AS last_id FROM (SELECT {_DAYS}, event_type, event_id, value,"
+    f" lag(value) OVER (PARTITION BY event_type, {_BUCKET.format(s=86400)} ORDER BY event_id) AS before FROM events) GROUP BY ALL"
+)
+def window_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).key_by("event_type").tumbling_window(DAY).process(rises, "n_rises long, last_id long").df
+
+
 class Lookup:
     """Stands in for a service: the answer for a nation key."""
 
@@ -481,6 +540,57 @@ def process_rich_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.key_by("event_type").process(Numbered("event_id"), "event_id long, event_type string, n long").df
 
 
+@register("LastThree")
+class LastThree(Processor):
+    """Each event with the sum of the last three of its user, kept in list state."""
+
+    order, schema = "event_id", "event_id long, user_id long, total long"
+
+    def open(self, context: Context) -> None:
+        self.last = context.list("last", "bigint")
+
+    def process(self, key: tuple, row: dict, context: Context) -> Iterator[tuple]:
+        held = [*self.last.get(), row["cents"]][-3:]
+        self.last.update(held)
+        yield row["event_id"], key[0], sum(held)
+
+
+_LAST_THREE = f"SELECT event_id, user_id, (sum({_CENTS}) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING))::BIGINT AS total FROM events"
+
+
+@query(_LAST_THREE)
+def process_list_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stateful processor by its registered name."""
+    return with_cents(events(spark, sf_dir), "event_id", "user_id").key_by("user_id").process_plugin_rich("LastThree").df
+
+
+class Splitter(Processor):
+    """Numbers a user's purchases; refunds of large amounts go to a side output."""
+
+    order, schema = "event_id", "event_id long, n long"
+
+    def open(self, context: Context) -> None:
+        self.count = context.value("count", "bigint")
+
+    def process(self, key: tuple, row: dict, context: Context) -> Iterator[tuple]:
+        if row["value"] > 400:
+            context.side_output("large", row["event_id"], key[0])
+        if row["event_type"] == "purchase":
+            n = (self.count.get() or 0) + 1
+            self.count.set(n)
+            yield row["event_id"], n
+
+
+@query(
+    "SELECT 'main' AS tag, event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'large', event_id, user_id FROM events WHERE value > 400"
+)
+def process_side_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
+    out = s.key_by("user_id").process_with_sides(Splitter(), {"large": "event_id long, user_id long"})
+    large = out["large"].select(F.lit("large").alias("tag"), "event_id", F.col("user_id").alias("n"))
+    return out["main"].select(F.lit("main").alias("tag"), "event_id", "n").union(large).df
+
+
 # Unbounded streams, run over what is there
 
 
@@ -552,6 +662,34 @@ def stream_rich_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(s.key_by("event_type").process(TypeCounter(), "event_id long, event_type string, n long").df, "counter")
 
 
+@query(f"SELECT event_id, event_type, count(*) {_RUN} AS n FROM events")
+def stream_counter_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same when the file holds the events in another order."""
+    path = folder(spark, "shuffled")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    rows.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(path)
+    s = StreamEnvironment(spark).parquet(path, True, rows.schema, value="event_type", order="event_id")
+    return collected(s.key_by("event_type").process(TypeCounter(), "event_id long, event_type string, n long").df, "counter")
+
+
+@query(_LAST_THREE)
+def stream_list_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = live_events(spark, sf_dir).select("event_id", "user_id", cents().alias("cents"))
+    return collected(s.key_by("user_id").process("LastThree").df, "list-state")
+
+
+@query(
+    "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id"
+    " AND p.ts BETWEEN v.ts - INTERVAL 10 MINUTE AND v.ts + INTERVAL 2 HOUR WHERE v.event_type = 'view' AND p.event_type = 'purchase'"
+)
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined within a bound of time, watermarks on both."""
+    views = live_events(spark, sf_dir).filter(F.col("event_type") == "view").with_time("ts", "1 hour").key_by("user_id")
+    purchases = live_events(spark, sf_dir).filter(F.col("event_type") == "purchase").with_time("ts", "1 hour").key_by("user_id")
+    joined = views.join(purchases).within(600_000, 2 * HOUR).apply(F.col("a.event_id").alias("view_id"), F.col("b.event_id").alias("purchase_id"))
+    return collected(joined.df, "interval-join")
+
+
 class FirstSeen(Processor):
     """When a user is first seen, a timer is set; it reports the number of events up to then."""
 
@@ -663,7 +801,7 @@ def _job(name: str, *operators: tuple[str, str, dict]) -> dict:
 
 @query(f"SELECT word || ':' || count(*) OVER (PARTITION BY word ORDER BY doc_id, pos ROWS UNBOUNDED PRECEDING) AS value FROM {_WORDS}")
 def yaml_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = english(spark, sf_dir).select(F.col("doc_id").alias("arrival"), F.col("text").alias("value")).df
+    lines = texts(spark, sf_dir).select(F.col("doc_id").alias("arrival"), F.col("text").alias("value")).df
     job = _job("wordcount", ("flatmap", "flatmap", {"function": "split_words"}), ("count", "count", {}))
     return compile_job(spark, job, {"source": lines})["sink"].select("value").df
 
@@ -675,6 +813,30 @@ def yaml_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_job(spark, job, {"source": lines})["sink"].select("value").df
 
 
+@query("SELECT event_type AS value, max(event_type) OVER (ORDER BY event_id) AS value_reduced, event_id AS arrival FROM events")
+def yaml_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared reduction of all rows, by a key that is the same for all."""
+    lines = events(spark, sf_dir).select(F.col("event_type").alias("value"), F.col("event_id").alias("arrival"), F.lit(0).alias("one")).df
+    job = _job("reduce", ("keyed", "key_by", {"key": "one"}), ("greatest", "reduce", {"key": "one", "function": "max"}))
+    return compile_job(spark, job, {"source": lines})["sink"].select("value", "value_reduced", "arrival").df
+
+
+@query("SELECT c_name || ' ' || n_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def yaml_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared join of two sources."""
+    source = lambda i: {"id": i, "operator": "source", "connector": {"type": "collection"}}
+    job = {
+        "name": "join",
+        "vertices": [source("customers"), source("nations"), {"id": "both", "operator": "join", "config": {"left_key": "k", "right_key": "k"}}, {"id": "sink", "operator": "sink", "connector": {"type": "console"}}],
+        "edges": [{"from": "customers", "to": "both"}, {"from": "nations", "to": "both"}, {"from": "both", "to": "sink"}],
+    }
+    sides = {
+        "customers": table(spark, sf_dir, "customer").df.select(F.col("c_name").alias("value"), F.col("c_nationkey").alias("k")),
+        "nations": table(spark, sf_dir, "nation").df.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")),
+    }
+    return compile_job(spark, job, sides)["sink"].select("value").df
+
+
 @query("SELECT list_extract(['hello', 'world', 'stream', 'streaming', 'data', 'rust', 'flink'], (i % 7 + 1)::INTEGER) AS value, i AS arrival FROM range(1000) t(i)")
 def generator_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return StreamEnvironment(spark).add_source(Generator(100, 1000), time="timestamp", order="arrival").select("value", "arrival").df

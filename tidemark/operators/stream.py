@@ -17,7 +17,7 @@ from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 from tidemark.errors import ConfigError
 from tidemark.functions import scalars, udf
-from tidemark.operators import windows
+from tidemark.operators import folds, windows
 from tidemark.operators.scan import Running, running
 from tidemark.plans.chains import ChainReport, report
 from tidemark.plans.graph import JobConfig, JobGraph, Partition, RestartStrategy, Vertex
@@ -212,14 +212,14 @@ class DataStream:
         df = F.broadcast(self.df) if not self.df.isStreaming and size <= most_bytes else self.df
         return replace(self, df=df, partition=Partition.BROADCAST)
 
-    def key_by(self, *keys: str | Column | Callable[[Column], Column]) -> KeyedStream:
+    def key_by(self, *keys: str | Column | Callable[[Column], Column] | udf.KeySelector) -> KeyedStream:
         df, names = self.df, []
         for i, k in enumerate(keys):
             if isinstance(k, str):
                 names.append(k)
             else:
                 names.append(f"key{i or ''}")
-                df = df.withColumn(names[-1], k if isinstance(k, Column) else k(F.col(self.value)))
+                df = df.withColumn(names[-1], (k if isinstance(k, udf.KeySelector) else udf.KeySelector(k)).column(self.value))
         vertex = self.env.vertex("key_by", "key_by", (self.vertex, Partition.HASH))
         return KeyedStream(replace(self, df=df, vertex=vertex.id, partition=Partition.FORWARD), tuple(names))
 
@@ -357,13 +357,27 @@ class KeyedStream:
         """One row per key; on an unbounded stream, the updated rows of each batch."""
         return self.stream._next("reduce", "totals", self.df.groupBy(*self.keys).agg(*aggs))
 
-    def process(self, processor, schema: str, mode: str = "Append", time_mode: str = "None") -> DataStream:
-        """A stateful processor (streaming.stateful) per key."""
+    def process(self, processor, schema: str | None = None, mode: str = "Append", time_mode: str = "None") -> DataStream:
+        """A stateful processor (streaming.stateful) per key, or the name of a registered one."""
         from tidemark.streaming.stateful import run
 
+        processor = udf.registered(processor) if isinstance(processor, str) else processor
         return self.stream._next("process", type(processor).__name__, run(self.df, list(self.keys), processor, schema, mode, time_mode))
 
-    process_fn = process_rich = process
+    process_fn = process_rich = process_plugin_rich = process
+
+    def process_with_sides(self, processor, sides: dict[str, str], schema: str | None = None, mode: str = "Append", time_mode: str = "None") -> dict[str, DataStream]:
+        """A stateful processor with side outputs (schema by tag): a stream of each, and ``main``. It runs once: bounded
+        results are written to the shared folder; of an unbounded stream, write the one that ``tagged`` holds and split that."""
+        from tidemark.shared import written
+        from tidemark.streaming.stateful import run
+
+        processor = udf.registered(processor) if isinstance(processor, str) else processor
+        df = run(self.df, list(self.keys), processor, schema, mode, time_mode, sides)
+        df = df if df.isStreaming else written(df, "sides")
+        one = lambda tag: self.stream._next("side_output", tag, df.where(F.col("tag") == tag).select(f"{tag}.*"), time=None, order=None)
+        out = {tag: one(tag) for tag in ("main", *sides)}
+        return out | {"tagged": self.stream._next("process", "tagged", df, time=None, order=None)} if df.isStreaming else out
 
     def window(self, spec: windows.Spec) -> WindowedStream:
         windows.check(spec)
@@ -406,20 +420,34 @@ class WindowedStream:
     def count(self, to: str = "count") -> DataStream:
         return self.aggregate(F.count("*").alias(to))
 
-    def reduce(self, f: str, value: str, to: str = "reduced") -> DataStream:
-        """``f``: sum, min or max."""
-        if f not in ("sum", "min", "max"):
-            raise ConfigError(f"unknown window reduction {f!r}; use aggregate_with for a function of your own")
-        return self.aggregate(getattr(F, f)(value).alias(to))
+    def _assigned(self, ranges: int | None = None):
+        s = self.keyed.stream
+        time = s._need("time") if isinstance(self.spec, windows.Tumbling | windows.Sliding | windows.Session) else s.time
+        order = s._need("order") if isinstance(self.spec, windows.Count) else s.order
+        return windows.assigned(s.df, list(self.keyed.keys), time, self.spec, order, ranges)
 
-    def aggregate_with(self, f: udf.AggregateFunction, value: str, returns: str, to: str = "result") -> DataStream:
-        """A user's aggregate: Arrow batches of a window's values, in the order in which they come."""
-        from pyspark.sql.functions import PandasUDFType, pandas_udf
+    def _folded(self, df: DataFrame) -> DataStream:
+        return self.keyed.stream._next("window", type(self.spec).__name__, df, config={"window": str(self.spec)}, time=None, order=None)
 
-        def fold(values):
-            return f.result(udf.partial_aggregate(f, values))
+    def reduce(self, f: str | udf.ReduceFunction | Callable[[Any, Any], Any], value: str, to: str = "reduced", returns: str = "double") -> DataStream:
+        """``f``: sum, min or max, or an associative Python function of two values."""
+        if isinstance(f, str):
+            if f not in ("sum", "min", "max"):
+                raise ConfigError(f"unknown window reduction {f!r}; give a function of your own")
+            return self.aggregate(getattr(F, f)(value).alias(to))
+        return self.aggregate_with(folds.Reduction(f), value, returns, to)
 
-        return self.aggregate(pandas_udf(fold, returns, PandasUDFType.GROUPED_AGG)(F.col(value)).alias(to))
+    def aggregate_with(self, f: udf.AggregateFunction, value: str, returns: str, to: str = "result") -> DataStream:
+        """A user's aggregate: accumulators of each task, merged per window, so ``merge`` has to be right."""
+        rows, groups = self._assigned()
+        return self._folded(folds.aggregate(rows, groups, f, value, to, returns))
+
+    def process(self, f: Callable[[dict, Any], Any], schema: str) -> DataStream:
+        """A user's function over a window's contents: it takes the window's columns and an iterator over its rows, in
+        order of arrival (of time, without one), and gives tuples of ``schema``. The rows stream by; none are gathered."""
+        rows, groups = self._assigned()
+        s = self.keyed.stream
+        return self._folded(folds.process(rows, groups, f, schema, s.order or s.time))
 
     def top(self, n: int, by: Column, *columns: str) -> DataStream:
         """The ``n`` first rows of each window by ``by``; the optimizer keeps no more of a group before the shuffle."""
@@ -463,16 +491,22 @@ class ConnectedStreams:
 
 @dataclass(frozen=True)
 class JoinedStreams:
-    """An inner equi-join on the keys, within one tumbling window if a size is given."""
+    """An inner equi-join on the keys, within one tumbling window if a size is given, or within a bound of time."""
 
     first: KeyedStream
     second: KeyedStream
     size_ms: int | None = None
+    within_ms: tuple[int, int] | None = None
 
     def window(self, size_ms: int) -> JoinedStreams:
         windows.check(windows.Tumbling(size_ms))
         return replace(self, size_ms=size_ms)
 
+    def within(self, before_ms: int, after_ms: int) -> JoinedStreams:
+        """Rows of the second side from ``before_ms`` before to ``after_ms`` after the time of the first side's; with
+        watermarks on both sides the state of an unbounded join is bounded by it."""
+        return replace(self, within_ms=(before_ms, after_ms))
+
     def apply(self, *columns: Column) -> DataStream:
         """``columns`` of each matching pair; the sides are ``a`` and ``b``."""
         a, b = self.first.stream, self.second.stream
@@ -487,6 +521,10 @@ class JoinedStreams:
             left = a.df.withColumn("window", windows.time_window(a._need("time"), spec)).alias("a")
             right = b.df.withColumn("window", windows.time_window(b._need("time"), spec)).alias("b")
             match = match & (F.col("a.window") == F.col("b.window"))
+        if self.within_ms:
+            at, other = F.col(f"a.{a._need('time')}"), F.col(f"b.{b._need('time')}")
+            before, after = (F.expr(f"interval {ms} milliseconds") for ms in self.within_ms)
+            match = match & (other >= at - before) & (other <= at + after)
         df = left.join(right, match).select(*columns)
         vertex = a.env.vertex("join", "join", (a.vertex, Partition.HASH), (b.vertex, Partition.HASH))
         return replace(a, df=df, vertex=vertex.id, partition=Partition.FORWARD, time=None, order=None)

@@ -99,6 +99,28 @@ def _assigned(df: DataFrame, time: str, spec: Tumbling | Sliding) -> DataFrame:
     return rows if isinstance(spec, Tumbling) else rows.where(F.unix_millis(F.col("window_start").cast("timestamp")) >= 0)
 
 
+def assigned(df: DataFrame, keys: list[str], time: str | None, spec: Spec, order: str | None = None, ranges: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Bounded: rows once per window, with the columns that name it, and the names of these and the keys."""
+    check(spec)
+    if df.isStreaming:
+        raise ConfigError("functions over a window's contents take bounded streams; use a stateful processor on others")
+    if isinstance(spec, Tumbling | Sliding):
+        return _assigned(df, time, spec), ["window_start", "window_end", *keys]
+    if isinstance(spec, Global):
+        return df, list(keys)
+    if isinstance(spec, Count):
+        rows = running(df, keys, order, [Running("_n", "count")], ranges).withColumn("window_index", F.expr(f"(_n - 1) div {spec.count}")).drop("_n")
+        if not spec.partial:
+            size = F.count("*").over(Window.partitionBy("window_index", *keys))
+            rows = rows.withColumn("_size", size).where(F.col("_size") == spec.count).drop("_size")
+        return rows, ["window_index", *keys]
+    rows = sessions(df, keys, time, spec.gap_ms, ranges)
+    whole = Window.partitionBy(*keys, "_session")
+    end = F.date_trunc("millisecond", F.max(time).over(whole).cast("timestamp")) + F.expr("interval 1 millisecond")
+    rows = rows.withColumn("window_start", F.min(time).over(whole)).withColumn("window_end", end.cast(df.schema[time].dataType))
+    return rows.drop("_session"), ["window_start", "window_end", *keys]
+
+
 def aggregate(df: DataFrame, keys: list[str], time: str | None, spec: Spec, aggs: list[Column], order: str | None = None, ranges: int | None = None) -> DataFrame:
     """Window columns, keys and ``aggs``. Time windows give window_start and window_end, count windows window_index.
 

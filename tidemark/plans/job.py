@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError, GraphError
+from tidemark.functions.scalars import predicate
+from tidemark.functions.udf import registered
 from tidemark.operators.stream import DataStream, StreamEnvironment
 from tidemark.operators.windows import Tumbling
 from tidemark.plans.graph import Edge, JobConfig, JobGraph, Partition, RestartStrategy, Vertex
@@ -110,6 +112,24 @@ def _apply(v: Vertex, ins: list[DataStream]) -> DataStream:
         return out.select(F.concat(F.lit("Window: "), F.col("n").cast("string"), F.lit(" elements")).alias(s.value))
     if v.operator == "reduce":
         return s.key_by(c.get("key", s.value)).reduce(c.get("function", "max"), c.get("on", s.value), to=s.value + "_reduced")
+    if v.operator == "join":
+        if len(ins) != 2:
+            raise GraphError(f"{v.id!r} joins two inputs, not {len(ins)}")
+        left, right = (x.key_by(F.lower(F.col(x.value)) if not c.get(k) else c[k]) for x, k in zip(ins, ("left_key", "right_key"), strict=True))
+        joined = left.join(right)
+        if c.get("size_ms"):
+            joined = joined.window(int(c["size_ms"]))
+        both = F.concat_ws(c.get("separator", " "), F.col(f"a.{ins[0].value}"), F.col(f"b.{ins[1].value}"))
+        return joined.apply(both.alias(s.value))
+    if v.operator == "connect":
+        if len(ins) != 2:
+            raise GraphError(f"{v.id!r} connects two inputs, not {len(ins)}")
+        first, second = (x.map(c.get(k, "identity")) for x, k in zip(ins, ("first", "second"), strict=True))
+        return first.connect(second).map([F.col(first.value).alias(s.value)], [F.col(second.value).alias(s.value)])
+    if v.operator == "async_io":
+        return s.async_io(registered(c["function"]), c.get("returns", "string"), bool(c.get("ordered", True)), int(c.get("timeout_ms", 5000)), int(c.get("capacity", 100)), to=s.value)
+    if v.operator == "side_output":
+        return s.side_output(side=predicate(c.get("predicate", "non_empty"), str(c.get("value", "")))(F.col(s.value)))[c.get("take", "side")]
     raise ConfigError(f"operator {v.operator!r} can't be declared")
 
 

@@ -148,15 +148,23 @@ class KafkaSink:
             base["includeHeaders"] = "true"
         return base | ({"checkpointLocation": self.checkpoint} if self.checkpoint else {})
 
-    def payload(self, df: DataFrame) -> DataFrame:
+    def payload(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Value, key and, for ``batch``, the header that tells a consumer which records came before."""
         value = self.codec.encode(F.col(self.value) if self.value in df.columns else F.struct(*df.columns))
-        return df.select(*([F.col(self.key).cast("binary").alias("key")] if self.key else []), value.alias("value"))
+        key = [F.col(self.key).cast("binary").alias("key")] if self.key else []
+        name = f"{self.transactional_id_prefix}-{batch}" if self.transactional_id_prefix else str(batch)
+        header = F.array(F.struct(F.lit("batch_id").alias("key"), F.lit(name).cast("binary").alias("value"))).alias("headers")
+        return df.select(*key, value.alias("value"), *([header] if batch is not None else []))
 
     def write(self, df: DataFrame, env=None) -> Any:
-        rows = self.payload(df)
-        if df.isStreaming:
-            return _kafka(lambda: _stream(rows, env, "update").format("kafka").options(**self.options()).start())
-        return _kafka(lambda: rows.write.format("kafka").options(**self.options()).save())
+        once = self.delivery is Delivery.EXACTLY_ONCE
+        send = lambda rows, batch: self.payload(rows, batch if once else None).write.format("kafka").options(**self.options()).save()
+        if not df.isStreaming:
+            return _kafka(lambda: send(df, 0))
+        if once:
+            query = _stream(df, env, "update").foreachBatch(send)
+            return _kafka(lambda: (query.option("checkpointLocation", self.checkpoint) if self.checkpoint else query).start())
+        return _kafka(lambda: _stream(self.payload(df), env, "update").format("kafka").options(**self.options()).start())
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.errors import StateError
 
@@ -140,12 +141,15 @@ def distinct_writes(df: DataFrame, checkpoint: str, record: str, order: str) ->
 
 
 class StagedSink:
-    """Writes each batch as Parquet below ``path/data/batch=<id>`` and publishes it by ``path/committed/<id>``.
+    """Writes each batch as Parquet below ``path/data/tidemark_batch=<id>`` and publishes it by ``path/committed/<id>``.
 
     Paths go through Hadoop's file systems, so any store that Spark writes to will do. Readers see published
-    batches only.
+    batches only. Every ``COMPACT`` batches the markers without a gap become one, ``upto=<id>``, so neither a write nor a
+    read lists what a long life has left.
     """
 
+    COMPACT = 100
+
     def __init__(self, path: str):
         self.path = path.rstrip("/")
 
@@ -154,31 +158,60 @@ class StagedSink:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-    def committed(self, spark: SparkSession) -> list[int]:
+    def _markers(self, spark: SparkSession) -> tuple[int, set[int]]:
+        """All ids below the first number are published, and those of the set."""
         fs, p = self._fs(spark, f"{self.path}/committed")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        whole = max((int(n.removeprefix("upto=")) + 1 for n in names if n.startswith("upto=")), default=0)
+        return whole, {int(n) for n in names if n.isdigit() and int(n) >= whole}
+
+    def committed(self, spark: SparkSession) -> list[int]:
+        whole, more = self._markers(spark)
+        return [*range(whole), *sorted(more)]
+
+    def _data(self, batch: int) -> str:
+        return f"{self.path}/data/tidemark_batch={batch}"
 
     def stage(self, df: DataFrame, batch: int) -> None:
         """Pre-commit: all files of the batch, replacing those of an attempt that failed."""
-        df.write.mode("overwrite").parquet(f"{self.path}/data/batch={batch}")
+        df.write.mode("overwrite").parquet(self._data(batch))
 
     def publish(self, spark: SparkSession, batch: int) -> None:
         fs, p = self._fs(spark, f"{self.path}/committed/{batch}")
         fs.create(p, True).close()
+        if (batch + 1) % self.COMPACT == 0:
+            self._compact(spark)
+
+    def _compact(self, spark: SparkSession) -> None:
+        whole, more = self._markers(spark)
+        end = whole
+        while end in more:
+            end += 1
+        if end > whole:
+            fs, p = self._fs(spark, f"{self.path}/committed/upto={end - 1}")
+            fs.create(p, True).close()
+            for name in (*([f"upto={whole - 1}"] if whole else []), *map(str, range(whole, end))):
+                fs, p = self._fs(spark, f"{self.path}/committed/{name}")
+                fs.delete(p, False)
 
     def abort(self, spark: SparkSession, batch: int) -> None:
-        fs, p = self._fs(spark, f"{self.path}/data/batch={batch}")
+        fs, p = self._fs(spark, self._data(batch))
         fs.delete(p, True)
 
     def __call__(self, df: DataFrame, batch: int) -> None:
         """For ``foreachBatch``: a batch that is already published is left alone."""
         spark = df.sparkSession
-        if batch in self.committed(spark):
+        whole, more = self._markers(spark)
+        if batch < whole or batch in more:
             return
         self.stage(df, batch)
         self.publish(spark, batch)
 
     def read(self, spark: SparkSession, schema) -> DataFrame:
-        done = self.committed(spark)
-        paths = [f"{self.path}/data/batch={b}" for b in done]
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        """The published batches: one folder, of which the id, a partition column, leaves out what is not published."""
+        whole, more = self._markers(spark)
+        if not whole and not more:
+            return spark.createDataFrame([], schema)
+        at = F.col("tidemark_batch")
+        rows = spark.read.schema(StructType([*schema.fields, StructField("tidemark_batch", LongType())])).parquet(f"{self.path}/data")
+        return rows.where((at < whole) | at.isin(sorted(more))).select(*schema.names)
