@@ -183,6 +183,41 @@ def test_loopback(spark):
     server.close()
 
 
+def test_a_full_line_server_slows_its_clients():
+    """No more than the bound is held; what is forgotten makes room, and nothing is lost."""
+    server = LineServer("127.0.0.1", 0, most_held=5)
+    client = LineClient("127.0.0.1", server.port)
+    client.send([str(i) for i in range(40)])
+    client.close()
+    got = []
+    end = time.monotonic() + 5
+    while len(got) < 40 and time.monotonic() < end:
+        lines = server.take(len(got))
+        assert len(lines) <= 5
+        got += lines
+        server.forget(len(got))
+        time.sleep(0.01)
+    assert got == [str(i) for i in range(40)]
+    server.close()
+
+
+def test_a_spool_tries_again(spark, tmp_path):
+    from tidemark.sources.sockets import Spool
+
+    server = LineServer("127.0.0.1", 0)
+    spool = Spool(spark, server, f"file://{tmp_path}/spool", flush_ms=20)
+    good, calls = spool.flush, []
+    spool.flush = lambda: calls.append(1) or (_ for _ in ()).throw(OSError("away")) if len(calls) < 3 else good()
+    client = LineClient("127.0.0.1", server.port)
+    client.send(["a", "b"])
+    client.close()
+    end = time.monotonic() + 5
+    while (not spool.files or spool.error) and time.monotonic() < end:
+        time.sleep(0.02)
+    assert spool.error is None and len(calls) == 3 and [r.value for r in spark.read.text(spool.folder).collect()] == ["a", "b"]
+    spool.stop()
+
+
 def test_line_server_as_a_stream(spark):
     port = free_port()
     df = SocketSource("127.0.0.1", port).load(spark)
