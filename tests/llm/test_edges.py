@@ -613,9 +613,10 @@ def test_recall_where_the_index_is_needed(spark, batch_rows):
 
 
 def test_beam_search_is_no_worse_than_greedy():
+    """On vectors that the codebooks weren't fitted on: they hold all of 500 fitted ones, but for rounding."""
     rng = np.random.default_rng(15)
-    x = rng.normal(size=(500, 16)).astype(np.float32)
-    books = ann.train(x)
+    books = ann.train(rng.normal(size=(500, 16)).astype(np.float32))
+    x = rng.normal(size=(2000, 16)).astype(np.float32)
     error = lambda beam: float(((x - ann.decode(ann.encode(x, books, beam).astype(int), books)) ** 2).sum())
     assert error(8) <= error(1)
 
