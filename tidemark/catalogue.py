@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark.functions import scalars
-from tidemark.functions.codecs import JsonCodec, decode
+from tidemark.functions.codecs import JsonCodec, codec, decode
 from tidemark.functions.udf import KeySelector, register
 from tidemark.operators.scan import Running, running
 from tidemark.operators.stream import DataStream, StreamEnvironment
@@ -395,6 +395,13 @@ def json_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(payload, codec).select("value.*")
 
 
+@query("SELECT event_id, event_type, user_id, value FROM events")
+def binary_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_codec = codec("bincode", "event_id BIGINT, event_type STRING, user_id BIGINT, value DOUBLE")
+    payload = events(spark, sf_dir).df.select(with_codec.encode(F.struct("event_id", "event_type", "user_id", "value")).alias("value"))
+    return decode(payload, with_codec).select("value.*")
+
+
 @query("SELECT event_id // 100 AS checkpoint, event_id % 70 AS record, min(event_id) AS event_id FROM events GROUP BY ALL")
 def idempotent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).df.select(F.expr("event_id div 100").alias("checkpoint"), (F.col("event_id") % 70).alias("record"), "event_id")

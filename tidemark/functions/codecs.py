@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from tidemark.errors import ConfigError, ConnectorUnavailable
+from tidemark.functions.binary import BinaryCodec
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,8 @@ class AvroCodec:
         return to_avro(value, self.schema)
 
 
-def codec(name: str, schema: str = "") -> StringCodec | JsonCodec | AvroCodec:
-    made = {"string": lambda: StringCodec(), "json": lambda: JsonCodec(schema), "avro": lambda: AvroCodec(schema)}
+def codec(name: str, schema: str = "") -> StringCodec | JsonCodec | AvroCodec | BinaryCodec:
+    made = {"string": lambda: StringCodec(), "json": lambda: JsonCodec(schema), "avro": lambda: AvroCodec(schema), "bincode": lambda: BinaryCodec(schema)}
     if name not in made:
         raise ConfigError(f"unknown codec {name!r}")
     return made[name]()
