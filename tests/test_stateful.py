@@ -1,11 +1,13 @@
 """Order, nulls and large integers in keyed state; user functions over windows; sinks of many batches."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalogue
 from tidemark.catalogue import MeanOf, TypeCounter
 from tidemark.errors import ConfigError
 from tidemark.operators.stream import StreamEnvironment
@@ -183,3 +185,25 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ConfigError, match="spark.checkpoint.dir"):
         folder(Session(), "x")
+
+
+@pytest.fixture(scope="module")
+def scattered(tmp_path_factory, spark, sf_dir):
+    """Events in several files, each over all of the month, some without user and type."""
+    path = f"{tmp_path_factory.mktemp('scattered')}"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(5, "event_id")
+    for c in ("user_id", "event_type"):
+        rows = rows.withColumn(c, F.when(F.col("event_id") % 50 != 0, F.col(c)))
+    rows.write.parquet(f"file://{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["stream_append_windows"])
+def test_replayed_events_of_several_files_are_never_late(spark, scattered, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{scattered}/events.parquet/*.parquet')")
+    found = con.execute(catalogue.ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert Counter(tuple(r) for r in catalogue.QUERIES[name](spark, scattered).select(*names).collect()) == Counter(found.fetchall())
