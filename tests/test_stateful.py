@@ -198,7 +198,7 @@ def scattered(tmp_path_factory, spark, sf_dir):
     return path
 
 
-@pytest.mark.parametrize("name", ["stream_append_windows"])
+@pytest.mark.parametrize("name", ["stream_append_windows", "stream_timer"])
 def test_replayed_events_of_several_files_are_never_late(spark, scattered, name):
     import duckdb
 

@@ -741,7 +741,7 @@ def stream_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time timers of an unbounded stream fire behind the watermark."""
     s = replayed(spark, sf_dir, "event_id", "user_id")
     out = s.key_by("user_id").process(FirstSeen(), "user_id long, fired_at long, n long", time_mode="EventTime").df
-    return collected(out, "timer").where("user_id IS NOT NULL")
+    return collected(out, "timer")
 
 
 @query(f"SELECT user_id, {FIRST_TIMER} AS fired_at, count(*) AS n FROM events GROUP BY user_id")
