@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark import catalogue
@@ -14,6 +15,7 @@ from tidemark.operators.stream import StreamEnvironment
 from tidemark.plans.job import compile_job
 from tidemark.shared import discard, folder, written
 from tidemark.sources.sinks import Delivery, KafkaSink
+from tidemark.streaming import stateful
 from tidemark.streaming.exactly_once import StagedSink
 from tidemark.streaming.run import collected
 from tidemark.streaming.stateful import Context, Processor, RunningCount
@@ -207,3 +209,15 @@ def test_replayed_events_of_several_files_are_never_late(spark, scattered, name)
     found = con.execute(catalogue.ORACLES[name])
     names = [d[0] for d in found.description]
     assert Counter(tuple(r) for r in catalogue.QUERIES[name](spark, scattered).select(*names).collect()) == Counter(found.fetchall())
+
+
+def test_spilled_runs_keep_equal_rows_and_nulls_as_they_came(monkeypatch):
+    monkeypatch.setattr(stateful, "RUN_ROWS", 50)
+    monkeypatch.setattr(stateful, "SLICE_ROWS", 7)
+    rng = random.Random(3)
+    rows = [Row(i=rng.choice([None, 1, 2, BIG]), n=n, text="x" * rng.randrange(9)) for n in range(1001)]
+    expected = sorted(rows, key=lambda r: (r.i is not None, r.i or 0, r.n))
+    assert list(stateful.in_order(iter(rows), "i")) == [r.asDict() for r in expected]
+    monkeypatch.setattr(stateful, "RUN_BYTES", 100)
+    assert list(stateful.in_order(iter(rows), "i")) == [r.asDict() for r in expected]
+    assert list(stateful.in_order(iter([]), "i")) == [] and [r["n"] for r in stateful.in_order(iter(rows), None)] == [*range(1001)]

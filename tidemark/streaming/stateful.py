@@ -2,16 +2,21 @@
 
 A ``Processor`` sees the rows of one key at a time with value, list, map and reducing state and timers; state
 lives in the RocksDB store of the query's checkpoint, is read once and written once per key and micro-batch. A
-micro-batch's rows of a key are put in order before they are processed, however the files hold them; they are held
-by the worker for that, so the source's rate limits (files or bytes a trigger) bound its memory. On a bounded stream the
-same processor is run per key over the rows in order, with state in memory; a key's rows are then streamed, not
-gathered, but one key is one task. Rows come as Python values: nulls are None, integers stay integers, a null key is a
-key, and so is NaN.
+micro-batch's rows of a key are put in order before they are processed, however the files hold them: sorted runs of
+them go to a temporary file of the worker and are merged. What a key gives leaves the worker in packed blocks, as PySpark
+holds all that a key gives in a micro-batch. On a bounded stream the same processor is run per key over the rows in order,
+with state in memory; a key's rows are then streamed, not gathered, but one key is one task. Rows come as Python values:
+nulls are None, integers stay integers, a null key is a key, and so is NaN.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+import pickle
+import tempfile
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -19,10 +24,14 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _parse_datatype_string
 
 from tidemark.errors import ConfigError, StateError
 
+RUN_ROWS, RUN_BYTES = 1 << 16, 16 << 20  # a run that is sorted in memory: rows, or text and binary in them
+SLICE_ROWS = 256  # read at once of each run
+BLOCK_ROWS = 1 << 12  # of a key's output in a block
+
 
 class Value:
     """One value per key."""
@@ -391,8 +400,10 @@ class _Output:
 
 
 class _Adapter(StatefulProcessor):
+    """Gives blocks of packed rows, which ``_unpacked`` reads."""
+
     def __init__(self, processor: Processor, output: _Output):
-        self.processor, self.output, self.row = processor, output, Row(*output.schema.names)
+        self.processor, self.output = processor, output
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -404,15 +415,16 @@ class _Adapter(StatefulProcessor):
         context = Context(self.handle, key, _time(timer_values.getCurrentWatermarkInMs), _time(timer_values.getCurrentProcessingTimeInMs))
         for state in self.held:
             state.forget()
-        for values in work(context):
-            yield self.row(*values)
+        given = work(context)
+        while rows := list(islice(given, BLOCK_ROWS)):
+            yield Row(block=_packed(rows))
         for state in self.held:
             state.flush()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         def work(context: Context) -> Iterator[tuple]:
             for row in in_order(rows, self.processor.order):
-                yield from self.output.rows(self.processor.process(tuple(key), row.asDict(), context), context)
+                yield from self.output.rows(self.processor.process(tuple(key), row, context), context)
 
         return self._run(tuple(key), timerValues, work)
 
@@ -424,9 +436,76 @@ class _Adapter(StatefulProcessor):
         self.processor.close()
 
 
-def in_order(rows: Iterator[Row], order: str | None) -> Iterator[Row]:
-    """All rows by ``order``, nulls first, equal ones as they came."""
-    return rows if order is None else iter(sorted(rows, key=lambda r: (False,) if r[order] is None else (True, r[order])))
+def _packed(rows: list[tuple]) -> bytes:
+    data = pickle.dumps(rows, pickle.HIGHEST_PROTOCOL)
+    return zlib.compress(data, 1 if len(data) > 1000 else 0)
+
+
+def _unpacked(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for block in batch.column(0):
+                rows += pickle.loads(zlib.decompress(block.as_py()))
+                if len(rows) >= BLOCK_ROWS:
+                    yield _batch(rows, schema)
+                    rows = []
+        yield _batch(rows, schema)
+
+    return each
+
+
+def in_order(rows: Iterable[Row], order: str | None) -> Iterator[dict]:
+    """All rows, as dicts, by ``order``, nulls first, equal ones as they came. No more than a run of them is held, and
+    a slice of each run before it; the runs lie in a temporary file."""
+    rows = iter(rows)
+    if order is None:
+        yield from (r.asDict() for r in rows)
+        return
+    first = next(rows, None)
+    if first is None:
+        return
+    names = first.__fields__
+    at = names.index(order)
+    rank = lambda r: (False,) if r[at] is None else (True, r[at])
+    run, size, starts, file = [tuple(first)], _size(first), [], None
+    try:
+        for row in rows:
+            if len(run) >= RUN_ROWS or size >= RUN_BYTES:
+                file = file or tempfile.TemporaryFile(prefix="tidemark-")
+                starts.append(_spill(file, sorted(run, key=rank)))
+                run, size = [], 0
+            run.append(tuple(row))
+            size += _size(row)
+        run.sort(key=rank)
+        for row in heapq.merge(*(_spilled(file, slices) for slices in starts), run, key=rank) if starts else run:
+            yield dict(zip(names, row, strict=True))
+    finally:
+        if file:
+            file.close()
+
+
+def _size(row: tuple) -> int:
+    return sum(len(x) for x in row if isinstance(x, (str, bytes, bytearray, list, dict)))
+
+
+def _spill(file, run: list[tuple]) -> list[int]:
+    """Write a run at the end of ``file``; where its slices begin."""
+    slices, some, size = [], [], 0
+    for i, row in enumerate(run, 1):
+        some.append(row)
+        size += _size(row)
+        if len(some) >= SLICE_ROWS or size >= RUN_BYTES >> 8 or i == len(run):
+            slices.append(file.seek(0, 2))
+            pickle.dump(some, file, pickle.HIGHEST_PROTOCOL)
+            some, size = [], 0
+    return slices
+
+
+def _spilled(file, slices: list[int]) -> Iterator[tuple]:
+    for start in slices:
+        file.seek(start)
+        yield from pickle.load(file)
 
 
 def _time(get: Callable[[], int]) -> int:
@@ -441,7 +520,7 @@ def _same(a: tuple | None, b: tuple) -> bool:
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    plain = lambda x: x.asDict(True) if isinstance(x, Row) else x
+    plain = lambda x: Row(x=x).asDict(True)["x"] if isinstance(x, (Row, list, dict)) else x
     columns = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array([plain(x) for x in c], t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
@@ -455,13 +534,14 @@ def run(df: DataFrame, keys: list[str], processor: Processor, schema: str | None
     if not (schema or processor.schema):
         raise ConfigError("a processor needs the schema of what it gives")
     output = _Output(_parse_datatype_string(schema or processor.schema), {t: _parse_datatype_string(k) for t, k in (sides or {}).items()})
+    arrow = to_arrow_schema(output.schema)
     if df.isStreaming:
-        return df.groupBy(*keys).transformWithState(statefulProcessor=_Adapter(processor, output), outputStructType=output.schema, outputMode=mode, timeMode=time_mode)
+        blocks = df.groupBy(*keys).transformWithState(statefulProcessor=_Adapter(processor, output), outputStructType=StructType([StructField("block", BinaryType())]), outputMode=mode, timeMode=time_mode)
+        return blocks.mapInArrow(_unpacked(arrow), output.schema)
 
     # One pass over rows sorted by key and order: no key's rows are held together.
     order = [F.col(processor.order).asc_nulls_first()] if processor.order else []
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    arrow = to_arrow_schema(output.schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle, current, context = MemoryHandle(), None, None
