@@ -1,12 +1,16 @@
 """Order, nulls and large integers in keyed state; user functions over windows; sinks of many batches."""
 
+import pickle
 import random
+import tracemalloc
+import zlib
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark import catalogue
 from tidemark.catalogue import MeanOf, TypeCounter
@@ -18,7 +22,7 @@ from tidemark.sources.sinks import Delivery, KafkaSink
 from tidemark.streaming import stateful
 from tidemark.streaming.exactly_once import StagedSink
 from tidemark.streaming.run import collected
-from tidemark.streaming.stateful import Context, Processor, RunningCount
+from tidemark.streaming.stateful import Context, MemoryHandle, Processor, RunningCount
 
 BIG = 2**53 + 1
 
@@ -211,6 +215,32 @@ def test_replayed_events_of_several_files_are_never_late(spark, scattered, name)
     assert Counter(tuple(r) for r in catalogue.QUERIES[name](spark, scattered).select(*names).collect()) == Counter(found.fetchall())
 
 
+def peak_mb(work) -> float:
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+class Timers:
+    getCurrentWatermarkInMs = getCurrentProcessingTimeInMs = lambda self: -1
+
+
+def test_rows_of_a_hot_key_are_not_held_together():
+    """300,000 rows of one key in no order: their sorted runs lie in a file, and what they give leaves in packed blocks."""
+    n = 300_000
+    rows = lambda: (Row(event_id=(i * 7919) % n, event_type="hot") for i in range(n))
+    adapter = stateful._Adapter(TypeCounter(), stateful._Output(StructType.fromDDL("event_id long, event_type string, n long"), {}))
+    adapter.init(MemoryHandle())
+    adapter.handle.key = ("hot",)
+    blocks = []
+    assert peak_mb(lambda: blocks.extend(adapter.handleInputRows(("hot",), rows(), Timers()))) < 40
+    assert sum(len(b.block) for b in blocks) < 10 * n
+    got = [x for b in blocks for x in pickle.loads(zlib.decompress(b.block))]
+    assert got == [(i, "hot", i + 1) for i in range(n)]
+
+
 def test_spilled_runs_keep_equal_rows_and_nulls_as_they_came(monkeypatch):
     monkeypatch.setattr(stateful, "RUN_ROWS", 50)
     monkeypatch.setattr(stateful, "SLICE_ROWS", 7)
@@ -221,3 +251,20 @@ def test_spilled_runs_keep_equal_rows_and_nulls_as_they_came(monkeypatch):
     monkeypatch.setattr(stateful, "RUN_BYTES", 100)
     assert list(stateful.in_order(iter(rows), "i")) == [r.asDict() for r in expected]
     assert list(stateful.in_order(iter([]), "i")) == [] and [r["n"] for r in stateful.in_order(iter(rows), None)] == [*range(1001)]
+
+
+class Nested(Processor):
+    order, schema = "i", "k long, at timestamp, xs array<struct<a:long,b:string>>, m map<string,long>, raw binary"
+
+    def process(self, key, row, context):
+        yield key[0], datetime(2024, 1, 1) if row["i"] % 2 else None, [Row(a=row["i"], b="x")], {"a": BIG}, b"\x00"
+
+
+def test_live_and_bounded_processors_give_the_same_nested_rows(spark, tmp_path):
+    df = spark.range(9).select((F.col("id") % 2).alias("k"), F.col("id").alias("i"))
+    df.write.parquet(f"file://{tmp_path}/in")
+    live = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
+    env = StreamEnvironment(spark)
+    run = lambda x: env.from_dataframe(x).key_by("k").process(Nested()).df
+    key = lambda r: r.xs[0].a
+    assert sorted(collected(run(live)).collect(), key=key) == sorted(run(df).collect(), key=key)
