@@ -22,7 +22,7 @@ from tidemark.sources.sinks import Delivery, KafkaSink
 from tidemark.streaming import stateful
 from tidemark.streaming.exactly_once import StagedSink
 from tidemark.streaming.run import collected
-from tidemark.streaming.stateful import Context, MemoryHandle, Processor, RunningCount
+from tidemark.streaming.stateful import Context, ListOf, MemoryHandle, Processor, RunningCount
 
 BIG = 2**53 + 1
 
@@ -268,3 +268,68 @@ def test_live_and_bounded_processors_give_the_same_nested_rows(spark, tmp_path):
     run = lambda x: env.from_dataframe(x).key_by("k").process(Nested()).df
     key = lambda r: r.xs[0].a
     assert sorted(collected(run(live)).collect(), key=key) == sorted(run(df).collect(), key=key)
+
+
+class CountedList:
+    """A list state that counts what is asked of it."""
+
+    def __init__(self, *rows):
+        self.rows, self.calls = list(rows), []
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.rows))
+
+    def exists(self):
+        self.calls.append("exists")
+        return bool(self.rows)
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.rows += rows
+
+    def clear(self):
+        self.calls.append("clear")
+        self.rows = []
+
+
+def test_a_list_is_read_and_written_once_per_key_and_batch():
+    class Handle:
+        state = CountedList((1,))
+
+        def getListState(self, name, schema):
+            return self.state
+
+    processor, context = catalogue.LastThree(), Context(Handle())
+    processor.open(context)
+    totals = [total for i in range(100) for _, _, total in processor.process((7,), {"event_id": i, "cents": i}, context)]
+    for held in context.held:
+        held.flush()
+    assert totals == [1, 2, *(3 * i - 3 for i in range(2, 100))]
+    assert Handle.state.calls == ["get", "put"] and Handle.state.rows == [(97,), (98,), (99,)]
+
+
+def test_a_held_list_does_what_a_plain_one_does():
+    rng = random.Random(1)
+    for _ in range(300):
+        start = [(i,) for i in range(rng.randrange(3))]
+        plain, held = ListOf(CountedList(*start)), ListOf(stateful._HeldList(CountedList(*start)))
+        plain.state.appendValue = lambda row, s=plain.state: s.rows.append(row)
+        held.state.PART = 5
+        for _ in range(12):
+            x = rng.randrange(100)
+            does = rng.choice(["get", "is_empty", "add", "add", "add_all", "update", "clear", "flush"])
+            if does == "flush":
+                held.state.flush()
+                assert held.state.state.rows == plain.state.rows
+                if x % 2:
+                    held.state.forget()
+                continue
+            args = {"add": [x], "add_all": [[x] * (x % 4)], "update": [[x] * (x % 3)]}.get(does, [])
+            assert getattr(plain, does)(*args) == getattr(held, does)(*args), does
+        held.state.flush()
+        assert held.state.state.rows == plain.state.rows

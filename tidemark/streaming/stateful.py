@@ -311,12 +311,59 @@ class _HeldMap:
         return self._whole("values")
 
 
+class _HeldList:
+    """Likewise for a list state; what is only added to is never read, and written back in parts."""
+
+    PART = 1 << 12
+
+    def __init__(self, state):
+        self.state = state
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: list[tuple] | None = None  # all of them, once read or put
+        self.added: list[tuple] = []  # not yet written
+        self.replaced = False
+
+    def get(self):
+        if self.rows is None:
+            self.rows = [*self.state.get(), *self.added]
+        return iter(self.rows)
+
+    def exists(self) -> bool:
+        return bool(self.rows or self.added) if self.rows is not None or self.added else self.state.exists()
+
+    def put(self, rows: list) -> None:
+        self.rows, self.added, self.replaced = list(rows), [], True
+
+    def appendList(self, rows: list) -> None:
+        if self.rows is not None:
+            self.rows.extend(rows)
+        if not self.replaced:
+            self.added.extend(rows)
+            if self.rows is None and len(self.added) >= self.PART:
+                self.flush()
+
+    def appendValue(self, row: tuple) -> None:
+        self.appendList([row])
+
+    def clear(self) -> None:
+        self.put([])
+
+    def flush(self) -> None:
+        if self.replaced:
+            self.state.put(self.rows) if self.rows else self.state.clear()
+        elif self.added:
+            self.state.appendList(self.added)
+        self.added, self.replaced = [], False
+
+
 class Context:
     """What a processor may use: state by name, timers, side outputs, the watermark and the processing time."""
 
     def __init__(self, handle, key: tuple = (), watermark_ms: int = -1, now_ms: int = -1):
         self.handle, self.key, self.watermark_ms, self.now_ms = handle, key, watermark_ms, now_ms
-        self.held: list[_HeldValue | _HeldMap] = []
+        self.held: list[_HeldValue | _HeldList | _HeldMap] = []
         self.sides: list[tuple[str, tuple]] = []
 
     def _hold(self, state, how: type):
@@ -329,7 +376,7 @@ class Context:
         return Value(self._hold(self.handle.getValueState(name, f"v {kind}"), _HeldValue))
 
     def list(self, name: str, kind: str) -> ListOf:
-        return ListOf(self.handle.getListState(name, f"v {kind}"))
+        return ListOf(self._hold(self.handle.getListState(name, f"v {kind}"), _HeldList))
 
     def map(self, name: str, key: str, value: str) -> MapOf:
         return MapOf(self._hold(self.handle.getMapState(name, f"k {key}", f"v {value}"), _HeldMap))
