@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +194,53 @@ def test_sessions_leave_out_rows_without_a_time(spark):
     df = spark.createDataFrame([(None, 1), (EPOCH, 2), (EPOCH + timedelta(seconds=1), 4)], "ts timestamp_ntz, v long")
     s = StreamEnvironment(spark).from_dataframe(df.withColumn("key", F.lit("a")), time="ts")
     assert [r["sum"] for r in s.key_by("key").session_window(5000).sum("v").df.collect()] == [6]
+
+
+def placed(spark, values, **more):
+    """(order, range) of each value, by order, nulls and then numbers first."""
+    df = spark.createDataFrame([(v,) for v in values], "o double")
+    rows = df.select("o", order_ranges(df, "o", **more).alias("r")).collect()
+    return sorted(((r.o, r.r) for r in rows), key=lambda x: (x[0] is not None, x[0] is not None and x[0] != x[0], x[0] or 0))
+
+
+@pytest.mark.parametrize("ranges", [None, 40, 1000])
+@pytest.mark.parametrize("kind", ["even", "outlier", "infinite", "squares"])
+def test_ranges_grow_with_the_order_and_are_many(spark, kind, ranges):
+    values = [float(i) for i in range(5000)]
+    values = {"even": values, "outlier": [*values, 1e15], "infinite": [*values, float("inf"), float("-inf"), float("nan")], "squares": [x**6 for x in values]}[kind]
+    got = placed(spark, [*values, None], ranges=ranges)
+    places = [r for _, r in got]
+    assert got[0] == (None, -1) and places == sorted(places)
+    sizes = Counter(places)
+    wanted = 32 if ranges is None else ranges
+    assert len(sizes) >= min(wanted, 64) // 2 and max(sizes.values()) <= 3 * 5000 / min(wanted, 128)
+
+
+@pytest.mark.parametrize("n", [3, 16, 17, 200])
+def test_known_bounds_are_exact(spark, n):
+    cuts = [float(i * i) for i in range(1, n + 1)]
+    values = [0.0, *cuts, *(c - 0.5 for c in cuts), 1e9, float("inf"), float("nan")]
+    assert [r for _, r in placed(spark, values, bounds=cuts)] == [sum(not v < c for c in cuts) for v in sorted(values[:-1])] + [n]
+
+
+def test_the_range_of_a_row_is_a_small_expression(spark):
+    """Nested conditions for every cut make a method that isn't compiled, and slow all of its stage."""
+    df = spark.range(100_000).selectExpr("id AS o")
+    for place in (order_ranges(df, "o", 1000), order_ranges(df, "o", bounds=[float(i) for i in range(0, 100_000, 500)])):
+        plan = df.select(place)._jdf.queryExecution().optimizedPlan()
+        assert plan.toString().count("CASE") <= 3
+
+
+def test_a_running_aggregate_shuffles_rows_once_and_joins_nothing(spark):
+    df = spark.range(1000).selectExpr("id AS i", "id % 7 AS k", "id AS v")
+    plan = running(df, ["k"], "i", [Running("s", "sum", "v")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_running_results_keep_types(spark):
+    df = spark.createDataFrame([(i, i % 3, i, Decimal(i), i / 2, f"{i}") for i in range(60)], "i long, k int, v int, d decimal(9,2), f float, t string")
+    kinds = [Running("n", "count"), Running("s", "sum", "v"), Running("sd", "sum", "d"), Running("sf", "sum", "f"), Running("lo", "min", "v"), Running("hi", "max", "t"), Running("at", "max_by", "t", "d")]
+    out = running(df, ["k"], "i", kinds, 8)
+    assert [t for _, t in out.dtypes[6:]] == ["bigint", "bigint", "decimal(30,2)", "double", "int", "string", "string"]
+    last = {r.k: r for r in out.where("i >= 57").collect()}
+    assert [(last[k].n, last[k].s, last[k].sd, last[k].sf, last[k].lo, last[k]["at"]) for k in range(3)] == [(20, 570 + 20 * k, Decimal(570 + 20 * k), 285 + 10 * k, k, f"{57 + k}") for k in range(3)]

@@ -1,8 +1,9 @@
 """Running aggregates over an order, in two levels.
 
 A window over a whole key would put a hot key, or a stream without keys, in one task. Here the order is cut
-into ranges: rows are scanned within (key, range), the ranges' totals, one small row each, are scanned per key, and
-what came before a range is added to its rows. The result is that of the plain window, nulls first in the order.
+into ranges: the ranges' totals, one small row each, are scanned per key, and what came before a range is put ahead of
+its rows as one more row, which the scan within (key, range) begins with. So the rows are shuffled and sorted once, and
+not joined. The result is that of the plain window, nulls first in the order.
 
 The ranges are cut at approximate quantiles, and each part between two of them into parts of equal width, so that an outlier
 costs at most the share of one quantile. Their number grows with the rows: about ``RANGE_ROWS`` in each.
@@ -10,8 +11,12 @@ costs at most the share of one quantile. Their number grows with the rows: about
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +27,8 @@ from tidemark.errors import ConfigError
 RANGES = 32  # at least so many, if there are rows enough to tell
 RANGE_ROWS = 1 << 18
 QUANTILES = 128
+MOST_WHENS = 16  # cuts in nested conditions
+GRID = 16  # cells a range
 
 
 @dataclass(frozen=True)
@@ -63,10 +70,40 @@ def _place(at: Column, cuts: Sequence[float], first: int = 0) -> Column:
     """How many of the ascending ``cuts`` are at or below ``at``, plus ``first``; by bisection."""
     if not cuts:
         return F.lit(first)
+    if len(cuts) > MOST_WHENS:  # as nested conditions they would be a method too large for the JIT, with all of its stage
+        steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+        edges = _literals([*map(float, cuts), *[math.inf] * (2 * steps[0] - 1 - len(cuts))], "double")
+        found = F.aggregate(_literals(steps, "int"), F.lit(0), lambda n, step: F.when(at >= F.get(edges, n + step - 1), n + step).otherwise(n))
+        return F.least(found, F.lit(len(cuts))) + F.lit(first)
     middle = len(cuts) // 2
     return F.when(at < F.lit(cuts[middle]), _place(at, cuts[:middle], first)).otherwise(_place(at, cuts[middle + 1 :], first + middle + 1))
 
 
+def _literals(values: Sequence[float], kind: str) -> Column:
+    """An array that the optimizer folds to one literal; a column for each element takes long to build."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _grid_place(at: Column, cuts: Sequence[float], least: float, most: float, within: int) -> Column | None:
+    """Like ``_place``, each part again in ``within`` of equal width, but a cut may move up to the next edge of a grid, so
+    that a place is one look into a table. None if bounds aren't finite, or the grid would bring cuts together."""
+    cells = GRID * (len(cuts) + 1)
+    width = (most - least) / cells
+    if not math.isfinite(width) or width <= 0:
+        return None
+    ends = [min(max(math.ceil((c - least) / width), 0), cells) for c in cuts]
+    if len(set(ends)) < len(ends):
+        return None
+    cell = F.greatest(F.least(F.floor((at - F.lit(least)) / F.lit(width)), F.lit(cells - 1)), F.lit(0)).cast("int")
+    place = F.get(_literals([bisect_right(ends, i) for i in range(cells)], "int"), cell)
+    if within == 1:
+        return place
+    edges = [least + width * end for end in (0, *ends, cells)]
+    a, b = F.get(_literals(edges[:-1], "double"), place), F.get(_literals(edges[1:], "double"), place)
+    part = F.greatest(F.least(F.floor((at - a) / (b - a) * within), F.lit(within - 1)), F.lit(0))
+    return place.cast("long") * within + part
+
+
 def order_ranges(df: DataFrame, order: str, ranges: int | None = None, bounds: Sequence[float] | None = None) -> Column:
     """The range of a row, growing with ``order``; -1 for a null order.
 
@@ -86,14 +123,14 @@ def order_ranges(df: DataFrame, order: str, ranges: int | None = None, bounds: S
     wanted = max(RANGES, -(-rows // RANGE_ROWS)) if ranges is None else ranges
     if ranges is None and wanted < parts:  # few rows: every so many quantiles
         cuts = cuts[:: -(-parts // wanted)]
-    cuts = sorted({float(x) for x in cuts} - {float(least)})
+    least, most = float(least), float(most)
+    cuts = sorted({float(x) for x in cuts if math.isfinite(x)} - {least})
     within = max(1, -(-wanted // (len(cuts) + 1)))
-    place = _place(at, cuts).cast("long")
-    if within > 1:
-        low, high = F.array(*map(F.lit, [float(least), *cuts])), F.array(*map(F.lit, [*cuts, float(most)]))
-        a, b = F.element_at(low, (place + 1).cast("int")), F.element_at(high, (place + 1).cast("int"))
-        part = F.when(b > a, F.least(F.floor((at - a) / (b - a) * within), F.lit(within - 1))).otherwise(F.lit(0))
-        place = place * within + part.cast("long")
+    place = _grid_place(at, cuts, least, most, within)
+    if place is None:
+        edges = [x for x in (least, *cuts, most) if math.isfinite(x)]
+        cuts = sorted({*cuts, *(a + (b - a) * i / within for a, b in zip(edges, edges[1:], strict=False) for i in range(1, within))} - {least})
+        place = _place(at, cuts)
     return F.when(at.isNull(), F.lit(-1)).otherwise(place).cast("long")
 
 
@@ -121,18 +158,21 @@ def running(df: DataFrame, keys: list[str], order: str, aggregates: list[Running
         else:
             c = F.col(a.value)
         rows = rows.withColumn(f"_v_{a.name}", c)
-    within = Window.partitionBy(*keys, "_range").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*keys, "_range").agg(*[_fold(a.kind, F.col(f"_v_{a.name}")).alias(f"_t_{a.name}") for a in aggregates])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    kept = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    totals = totals.select(*kept, F.col("_range").alias("_r"), *[_fold(a.kind, F.col(f"_t_{a.name}")).over(earlier).alias(f"_b_{a.name}") for a in aggregates])
-    scanned = rows.select("*", *[_fold(a.kind, F.col(f"_v_{a.name}")).over(within).alias(f"_h_{a.name}") for a in aggregates])
-    match = F.col("_range") == F.col("_r")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = scanned.join(totals, match)
-    columns = []
+    before = totals.select("*", *[_fold(a.kind, F.col(f"_t_{a.name}")).over(earlier).alias(f"_b_{a.name}") for a in aggregates])
+    before = before.where(reduce(or_, [F.col(f"_b_{a.name}").isNotNull() for a in aggregates]))
+    kinds = {a.name: before.select(_join(a.kind, F.col(f"_b_{a.name}"), F.col(f"_t_{a.name}"))).schema[0].dataType for a in aggregates}
+    columns = [*df.columns, "_range"]
+    ahead = before.select(
+        *[F.col(c) if c in keys or c == "_range" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns],
+        *[F.col(f"_b_{a.name}").cast(kinds[a.name]).alias(f"_v_{a.name}") for a in aggregates], F.lit(False).alias("_own"),
+    )
+    rows = rows.select(*columns, *[F.col(f"_v_{a.name}").cast(kinds[a.name]).alias(f"_v_{a.name}") for a in aggregates], F.lit(True).alias("_own"))
+    within = Window.partitionBy(*keys, "_range").orderBy("_own", F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = rows.union(ahead).select("*", *[_fold(a.kind, F.col(f"_v_{a.name}")).over(within).alias(f"_h_{a.name}") for a in aggregates]).where("_own")
+    out = []
     for a in aggregates:
-        c = _join(a.kind, F.col(f"_b_{a.name}"), F.col(f"_h_{a.name}"))
-        columns.append((c["value"] if a.kind in ("min_by", "max_by") else c).alias(a.name))
-    return out.select(*df.columns, *columns)
+        c = F.col(f"_h_{a.name}").cast(kinds[a.name])
+        out.append((c["value"] if a.kind in ("min_by", "max_by") else c).alias(a.name))
+    return scanned.select(*df.columns, *out)
