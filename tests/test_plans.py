@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 
@@ -124,3 +125,21 @@ def test_connector_settings(spark):
     with pytest.raises(ConfigError):
         builders.SocketSource("h", 1, "sideways").load(spark)
     assert sinks.unquoted('"a\\"b"') == 'a"b' and sinks.unquoted("a") == "a" and sinks.unquoted('"') == '"'
+
+
+def test_a_declared_count_shuffles_rows_once_and_joins_nothing(spark):
+    """Also of words that differ in case, over lines whose arrival leaves wide gaps."""
+    lines = [(i * i * 1000, "To be or not to BE" if i % 2 else "  be\tso ") for i in range(200)]
+    source = {"id": "source", "operator": "source", "connector": {"type": "collection"}}
+    sink = {"id": "sink", "operator": "sink", "connector": {"type": "console"}}
+    steps = [{"id": "words", "operator": "flatmap", "config": {"function": "split_words"}}, {"id": "n", "operator": "count", "config": {}}]
+    ids = ["source", "words", "n", "sink"]
+    job = {"name": "j", "vertices": [source, *steps, sink], "edges": [{"from": a, "to": b} for a, b in zip(ids, ids[1:], strict=False)]}
+    out = compile_job(spark, job, {"source": spark.createDataFrame(lines, "arrival long, value string")})["sink"].df
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    seen, expected = Counter(), []
+    for _, text in lines:
+        for word in text.lower().split():
+            seen[word] += 1
+            expected.append(f"{word}:{seen[word]}")
+    assert Counter(r.value for r in out.collect()) == Counter(expected)
