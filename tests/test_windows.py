@@ -244,3 +244,36 @@ def test_running_results_keep_types(spark):
     assert [t for _, t in out.dtypes[6:]] == ["bigint", "bigint", "decimal(30,2)", "double", "int", "string", "string"]
     last = {r.k: r for r in out.where("i >= 57").collect()}
     assert [(last[k].n, last[k].s, last[k].sd, last[k].sf, last[k].lo, last[k]["at"]) for k in range(3)] == [(20, 570 + 20 * k, Decimal(570 + 20 * k), 285 + 10 * k, k, f"{57 + k}") for k in range(3)]
+
+
+def test_only_hot_keys_are_cut(spark, monkeypatch):
+    """Rare keys bring no totals, and no row to put ahead of theirs; the results are those of the plain window."""
+    monkeypatch.setattr(scan, "HOT_ROWS", 100)
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
+    df = spark.range(3000).select(F.when(F.col("id") > 4, F.col("id")).alias("i"), F.coalesce(hot, F.when(F.col("id") % 3 == 2, (F.col("id") % 500).cast("string"))).alias("k"), (F.col("id") % 11).alias("v"))
+    place, cut = scan._ranges(df, "i", keys=["k"])
+    placed = df.select("k", place.alias("r"), cut.alias("cut")).distinct().collect()
+    assert {r.k for r in placed if r.cut} == {"hot", None} and {r.r for r in placed if not r.cut} == {0}
+    assert len([r for r in placed if r.k == "hot"]) >= 16
+    df = df.where("i IS NOT NULL")
+    got = running(df, ["k"], "i", [Running("n", "count"), Running("s", "sum", "v")])
+    plain = df.selectExpr("*", *(f"{f} OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS {n}" for n, f in (("n", "count(*)"), ("s", "sum(v)"))))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.collect()))
+
+
+def test_rare_keys_are_scanned_without_totals(spark):
+    df = spark.range(5000).selectExpr("id AS i", "named_struct('k', id % 700).k AS k", "id AS v")
+    out = running(df, ["k"], "i", [Running("s", "sum", "v"), Running("n", "count")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Aggregate" not in plan and plan.count("Window ") == 1
+    assert out.agg(F.sum("n"), F.sum("s")).first() == df.selectExpr("count(*) OVER (PARTITION BY k ORDER BY i) AS n", "sum(v) OVER (PARTITION BY k ORDER BY i) AS s").agg(F.sum("n"), F.sum("s")).first()
+
+
+@pytest.mark.parametrize("kind", ["double", "struct<x:bigint>", "array<bigint>", "string collate UTF8_LCASE"])
+def test_equal_keys_are_cut_alike(spark, monkeypatch, kind):
+    """Zeros of either sign, NaN, nested keys, and text that differs in case are one key each."""
+    monkeypatch.setattr(scan, "HOT_ROWS", 100)
+    key = {"double": "CASE id % 4 WHEN 0 THEN 0D WHEN 1 THEN -0D WHEN 2 THEN double('NaN') END", "struct<x:bigint>": "named_struct('x', id % 3)", "array<bigint>": "array(id % 3)"}.get(kind, "CASE id % 2 WHEN 0 THEN 'Hot' ELSE 'hOT' END COLLATE UTF8_LCASE")
+    df = spark.range(1200).selectExpr("id AS i", f"{key} AS k")
+    got = {r.i: r.n for r in running(df, ["k"], "i", [Running("n", "count")]).collect()}
+    assert got == {r.i: r.n for r in df.selectExpr("i", "count(*) OVER (PARTITION BY k ORDER BY i) AS n").collect()}

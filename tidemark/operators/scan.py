@@ -7,6 +7,10 @@ not joined. The result is that of the plain window, nulls first in the order.
 
 The ranges are cut at approximate quantiles, and each part between two of them into parts of equal width, so that an outlier
 costs at most the share of one quantile. Their number grows with the rows: about ``RANGE_ROWS`` in each.
+
+Only hot keys are cut: with most keys rare, there would be nearly as many totals as rows. The aggregation that finds the
+quantiles also finds the most frequent hashes of keys, by a sketch that misses none above its bound. Which keys are cut
+decides where rows are scanned, never the result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, DateType, DecimalType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from tidemark.errors import ConfigError
 
@@ -29,6 +33,7 @@ RANGE_ROWS = 1 << 18
 QUANTILES = 128
 MOST_WHENS = 16  # cuts in nested conditions
 GRID = 16  # cells a range
+HOT_ROWS, HOT_KEYS = 1 << 14, 1 << 12  # a hot key has more rows than that, and is one of so many of the most frequent
 
 
 @dataclass(frozen=True)
@@ -110,16 +115,39 @@ def order_ranges(df: DataFrame, order: str, ranges: int | None = None, bounds: S
     ``bounds`` are known cuts of the order's position (see ``position``); without them one aggregation of ``df`` finds
     them. ``ranges`` is how many ranges to aim at; by default it grows with the rows.
     """
+    return _ranges(df, order, ranges, bounds)[0]
+
+
+def _hash(df: DataFrame, keys: Sequence[str]) -> Column | None:
+    """A hash of the keys; None without keys, or where a type's equal values may differ in it."""
+    kinds = [df.schema[k].dataType for k in keys]
+    known = NumericType | BooleanType | BinaryType | DateType | TimestampType | TimestampNTZType
+    sure = lambda t: t.collation == "UTF8_BINARY" if isinstance(t, StringType) else isinstance(t, known)
+    return F.xxhash64(*keys) if kinds and all(map(sure, kinds)) else None
+
+
+def _ranges(df: DataFrame, order: str, ranges: int | None = None, bounds: Sequence[float] | None = None, keys: Sequence[str] = ()) -> tuple[Column, Column]:
+    """The range of a row, and whether its key is cut: with ``keys``, whether it is hot, and the range is 0 if not.
+
+    A key that is not cut has at most ``HOT_ROWS`` rows, or about a ``HOT_KEYS``th of all rows.
+    """
     at = position(df, order).cast("double")
     if bounds is not None:
-        return F.coalesce(F.when(at.isNotNull(), _place(at, sorted(set(bounds)))), F.lit(-1)).cast("long")
+        return F.coalesce(F.when(at.isNotNull(), _place(at, sorted(set(bounds)))), F.lit(-1)).cast("long"), F.lit(True)
     if ranges == 1:
-        return F.when(at.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        return F.when(at.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"), F.lit(True)
     parts = QUANTILES if ranges is None else min(QUANTILES, ranges)
     shares = [i / parts for i in range(1, parts)]
-    rows, least, most, cuts = df.agg(F.count(at), F.min(at), F.max(at), F.percentile_approx(at, F.array(*map(F.lit, shares)), F.lit(1000))).first()
+    key, cut = _hash(df, keys), F.lit(True)
+    sketch = [] if key is None else [F.call_function("approx_top_k", key, F.lit(HOT_KEYS), F.lit(4 * HOT_KEYS))]
+    rows, least, most, cuts, *top = df.agg(F.count(at), F.min(at), F.max(at), F.percentile_approx(at, F.array(*map(F.lit, shares)), F.lit(1000)), *sketch).first()
+    if key is not None:
+        hot = [r["item"] for r in top[0] or () if r["count"] > HOT_ROWS]
+        if not hot:
+            return F.lit(0).cast("long"), F.lit(False)
+        cut = key.isin(hot)
     if not rows or least == most:
-        return F.when(at.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        return F.when(cut & at.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"), cut
     wanted = max(RANGES, -(-rows // RANGE_ROWS)) if ranges is None else ranges
     if ranges is None and wanted < parts:  # few rows: every so many quantiles
         cuts = cuts[:: -(-parts // wanted)]
@@ -131,20 +159,21 @@ def order_ranges(df: DataFrame, order: str, ranges: int | None = None, bounds: S
         edges = [x for x in (least, *cuts, most) if math.isfinite(x)]
         cuts = sorted({*cuts, *(a + (b - a) * i / within for a, b in zip(edges, edges[1:], strict=False) for i in range(1, within))} - {least})
         place = _place(at, cuts)
-    return F.when(at.isNull(), F.lit(-1)).otherwise(place).cast("long")
+    return F.when(~cut, F.lit(0)).when(at.isNull(), F.lit(-1)).otherwise(place).cast("long"), cut
 
 
 def running(df: DataFrame, keys: list[str], order: str, aggregates: list[Running], ranges: int | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
     """``df`` with a column per aggregate over all rows of the same keys up to and with the row, by ``order``.
 
     ``order`` must be unique per key; rows without one come first. min_by and max_by give the value of the first row
-    with the least or greatest ``by``. Null values are left out by sum, min and max.
+    with the least or greatest ``by``. Null values are left out by sum, min and max. ``ranges`` or ``bounds`` cut all keys.
     """
     if df.isStreaming:
         raise ConfigError("running results of an unbounded stream come from streaming.stateful, or totals()")
     if not aggregates:
         return df
-    rows = df.withColumn("_range", order_ranges(df, order, ranges, bounds))
+    place, cut = _ranges(df, order, ranges, bounds, keys if ranges is None else ())
+    rows = df.withColumn("_range", place)
     at = position(df, order)
     if isinstance(df.schema[order].dataType, DecimalType):
         at = at.cast("decimal(38,6)")
@@ -158,7 +187,7 @@ def running(df: DataFrame, keys: list[str], order: str, aggregates: list[Running
         else:
             c = F.col(a.value)
         rows = rows.withColumn(f"_v_{a.name}", c)
-    totals = rows.groupBy(*keys, "_range").agg(*[_fold(a.kind, F.col(f"_v_{a.name}")).alias(f"_t_{a.name}") for a in aggregates])
+    totals = rows.where(cut).groupBy(*keys, "_range").agg(*[_fold(a.kind, F.col(f"_v_{a.name}")).alias(f"_t_{a.name}") for a in aggregates])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("*", *[_fold(a.kind, F.col(f"_t_{a.name}")).over(earlier).alias(f"_b_{a.name}") for a in aggregates])
     before = before.where(reduce(or_, [F.col(f"_b_{a.name}").isNotNull() for a in aggregates]))
