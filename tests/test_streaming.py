@@ -321,3 +321,15 @@ def test_running_results_of_a_stream_are_refused(spark):
     df = Generator(100).load(spark)
     with pytest.raises(ConfigError):
         StreamEnvironment(spark).from_dataframe(df, order="arrival").count()
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_of_several_files_is_replayed_whole(spark, sf_dir, tmp_path, files):
+    """A folder of files, as Spark writes a table; its rows in no order."""
+    from tidemark import catalogue
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.orderBy(F.xxhash64("event_id")).repartition(files).write.parquet(f"{tmp_path}/events.parquet")
+    expected = events.selectExpr("event_id", "event_type", "count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS n").collect()
+    got = catalogue.stream_rich_counter(spark, str(tmp_path)).collect()
+    assert expected and sorted(map(tuple, got)) == sorted(map(tuple, expected))

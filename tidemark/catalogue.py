@@ -602,8 +602,9 @@ def process_side_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_events(spark: SparkSession, sf_dir: str) -> DataStream:
+    """All events, whether the table is a file or a folder of files: a stream's path may be a file only as a pattern."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return StreamEnvironment(spark).parquet(sf_dir, True, schema, "events.parquet", value="event_type", order="event_id")
+    return StreamEnvironment(spark).parquet(f"{sf_dir}/{{events.parquet}}", True, schema, value="event_type", order="event_id")
 
 
 @query(f"SELECT window_start, window_end, event_type, count(*) AS n, sum(c)::BIGINT AS total FROM (SELECT {_DAYS}, event_type, {_CENTS} AS c FROM events) GROUP BY ALL")
